@@ -29,7 +29,30 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shards, op7_exact_dedup)}
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 2048 tokens."""
+    from kinweave.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents")).drop("ids")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; a third of them, by id, is held out of training."""
+    from kinweave.llm.langid import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()))
+    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model).drop("text")
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by byte-level BPE and decoded again."""
+    from kinweave.llm.bytebpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shards, op6_best_fit_packing, op7_exact_dedup, op9_language_id, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
