@@ -29,6 +29,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_report(table(spark, sf_dir, "documents"))
 
 
+def op2_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written to a content-addressed store and read back from its files."""
+    from kinweave.llm.chunkstore import new_store_path, read_store, write_store
+
+    path = new_store_path(spark, "store")
+    write_store(table(spark, sf_dir, "documents"), path)
+    return read_store(spark, path).drop("ids")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     from kinweave.llm.packing import pack
@@ -36,6 +45,16 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents")).drop("ids")
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, counted in flat token files that hold no index."""
+    from kinweave.llm.sepscan import roster, scan_separators, write_flat
+    from kinweave.staging import stage
+
+    end_id = 50256
+    flat, _ = stage(write_flat(table(spark, sf_dir, "documents"), end_id), "flat")
+    return scan_separators(flat, end_id).join(roster(flat), ["file", "nth"]).select("doc_id", "file", "nth", "start", "n_tokens", "terminated")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document; a third of them, by id, is held out of training."""
     from kinweave.llm.langid import held_out, predict, train
@@ -52,7 +71,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shards, op6_best_fit_packing, op7_exact_dedup, op9_language_id, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shards, op2_chunk_store, op6_best_fit_packing, op7_exact_dedup, op8_token_counts, op9_language_id, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
