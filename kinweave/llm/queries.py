@@ -38,6 +38,13 @@ def op2_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_store(spark, path).drop("ids")
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document; the smallest doc_id of a class stays."""
+    from kinweave.llm.dartminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     from kinweave.llm.packing import pack
@@ -71,7 +78,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shards, op2_chunk_store, op6_best_fit_packing, op7_exact_dedup, op8_token_counts, op9_language_id, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shards, op2_chunk_store, op3_near_dedup, op6_best_fit_packing, op7_exact_dedup, op8_token_counts, op9_language_id, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """
