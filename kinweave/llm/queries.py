@@ -45,6 +45,22 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with surrogates for the personal data in it, and how many of each kind."""
+    from kinweave.llm.surrogates import replace_personal_data
+
+    done = replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kinds = F.array_join(F.transform(F.array_sort(F.map_entries("replaced")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return done.select("doc_id", "text", kinds.alias("replaced"))
+
+
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest vectors of every hundredth vector."""
+    from kinweave.llm.dimscan import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of 2048 tokens."""
     from kinweave.llm.packing import pack
@@ -78,7 +94,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shards, op2_chunk_store, op3_near_dedup, op6_best_fit_packing, op7_exact_dedup, op8_token_counts, op9_language_id, op10_byte_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_shards, op2_chunk_store, op3_near_dedup, op4_surrogates, op5_nearest, op6_best_fit_packing, op7_exact_dedup, op8_token_counts, op9_language_id, op10_byte_bpe)}
 
 ORACLE_SQL: dict[str, str] = {
     "op7_exact_dedup": """

@@ -1,0 +1,352 @@
+"""Surrogates for personal data: keyed, consistent in type, with collision checks.
+
+Patterns find email addresses, IPv4 and IPv6 addresses, phone and account numbers, US social security numbers, IBANs,
+secrets given as key = value, and names after a form of address or an introduction. Each entity is reduced to a core
+(digits of a number, lower-case form of an address or name), so that all mentions of one entity get one surrogate in
+all documents. The core is enciphered by a keyed permutation of all strings of its format: digits become digits (the
+first of a number keeps its kind), letters become letters of the same case and script, check digits are made valid
+again where they were. Names are drawn from lists that match the gender of the form of address and the script; names
+beyond the lists or in other scripts are enciphered letter by letter. A mention gets the punctuation and the case of
+the original.
+
+Collision checks. The distinct entities of the corpus, a small table, are given surrogates and compared with each
+other and with all real entities. An entity whose surrogate is taken or real is enciphered once more, until none is
+left. Only these exceptions travel: as a broadcast if there are at most MAX_BROADCAST of them, otherwise by a join
+that only the documents concerned take part in. All other documents compute their surrogates where they are.
+
+Defined cases: a null text stays null; a text without entities is unchanged to the byte; equal rows get equal texts;
+entities that overlap are resolved to the one that begins first, the longest of a kind; an empty table stays empty;
+further columns are carried.
+"""
+
+from __future__ import annotations
+
+import hashlib
+import re
+import unicodedata
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from kinweave.llm.bloomdedup import bit_filter, filter_bits, marked, position
+from kinweave.staging import drop_staged, stage
+
+MAX_BROADCAST = 200_000
+#: Names by gender, and forms of address with the gender that they tell.
+NAMES = {
+    ("latin", "f"): "Anna Maria Emma Laura Julia Clara Sofia Lucia Elena Marta Alice Camille Louise Jeanne Claire Helene Ingrid Greta Hannah Lena Carmen Pilar Rosa Teresa Isabel Susan Karen Nancy Linda Grace".split(),
+    ("latin", "m"): "Paul Peter Thomas Martin Daniel David Robert Michel Pierre Louis Jean Antoine Hans Karl Jonas Felix Stefan Andreas Carlos Miguel Jorge Pablo Diego Luis James George Henry Frank Walter Simon".split(),
+    ("latin", "s"): "Abbott Baker Carter Dawson Ellis Foster Grant Harper Jensen Keller Lambert Mercier Navarro Ortega Palmer Quinn Richter Schuster Torres Ulrich Vidal Weber Young Zimmer Berger Costa Duval Engel Ferrer Girard".split(),
+    ("cyrillic", "f"): "Анна Мария Елена Ольга Ирина Татьяна Наталья Светлана Вера Дарья".split(),
+    ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Павел Юрий".split(),
+    ("cyrillic", "s"): "Иваненко Петренко Бондарь Коваль Шевчук Мельник Ткач Гончар Лысенко Кравец".split(),
+}
+ADDRESS = {
+    "m": "Mr Mister Sir Herr Herrn Monsieur M Señor Sr Don господин".split(),
+    "f": "Mrs Ms Miss Madam Frau Madame Mme Mademoiselle Mlle Señora Sra Señorita Doña госпожа".split(),
+    "n": ["Dr", "Prof", "my name is", "My name is", "ich heiße", "Ich heiße", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут"],
+}
+_GENDER = {v: g for g, words in ADDRESS.items() for w in words for v in (w, w.upper())}
+_NAME = r"[^\W\d_][^\W\d_a-zà-ÿа-я]{0,0}[\w'’-]{0,40}"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+#: Each pattern begins at a boundary that its own characters cannot cross, so that a search is linear in the text.
+_AT = re.compile(r"(?<![\w.+%-])[\w.+%-]{1,64}@(?:[\w-]{1,63}\.){1,8}[^\W\d_]{2,24}(?!\w)")
+_DIGITS = re.compile(
+    r"(?P<ipv6>(?<![\w:])(?:[0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}(?![\w:]))"
+    rf"|(?P<ip>(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d))"
+    r"|(?P<iban>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w))"
+    r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
+    r"|(?P<account>(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?)(?![\w-]|\.\d))"
+    r"|(?P<phone>(?<![\w+(.-])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?|\d{1,4}[ .-]?)\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-]|\.\d))"
+)
+_DIGIT_RUN = re.compile(r"\d[\d .:()A-Fa-f-]{5}|(?<!\w)[A-Z]{2}\d{2}|(?i::[0-9a-f]{1,4}){3}")
+_SECRET = re.compile(r"""(?i:(?<![^\W_])(?:api[_-]?key|secret|token|password|passwd|pwd|access[_-]?key))["']?\s{0,3}[=:]\s{0,3}["']?(?P<secret>[^\s"'<>,;]{8,200})""")
+_PERSON = re.compile(r"(?<!\w)(?P<form>" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + rf")(?:\. ?| )(?P<name>(?:(?=[^\W\d_a-zа-я]){_NAME})(?: (?=[^\W\d_a-zа-я]){_NAME}){{0,2}})")
+_SECRET_WORD = re.compile(r"(?i)key|secret|token|passw|pwd")
+_UPPER_FORM = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + r")[. ]")
+
+
+def find_entities(text: str) -> list[tuple[int, int, str, str]]:
+    """(begin, end, kind, gender) of each entity, in order and without overlap. The gender is only told of names."""
+    found = []
+    if "@" in text:
+        found += [(*m.span(), "email", "") for m in _AT.finditer(text)]
+    if _DIGIT_RUN.search(text):
+        found += [(*m.span(), m.lastgroup, "") for m in _DIGITS.finditer(text)]
+    if _SECRET_WORD.search(text):
+        found += [(*m.span("secret"), "secret", "") for m in _SECRET.finditer(text)]
+    if _UPPER_FORM.search(text):
+        found += [(*m.span("name"), "name", _GENDER[m["form"]]) for m in _PERSON.finditer(text)]
+    out, end = [], -1
+    for a, b, kind, gender in sorted(found, key=lambda x: (x[0], -x[1])):
+        if a >= end:
+            out.append((a, b, kind, gender))
+            end = b
+    return out
+
+
+def core_of(kind: str, mention: str, gender: str) -> str:
+    """What all mentions of an entity have in common."""
+    if kind == "email":
+        return mention.lower()
+    if kind == "phone":
+        m = re.match(r"\+(\d{1,3})(?=[ .(-])", mention)
+        digits = re.sub(r"\D", "", mention[m.end() :] if m else mention)
+        return f"{m[1] if m else ''}|{digits}"
+    if kind in ("account", "ssn"):
+        return re.sub(r"\D", "", mention)
+    if kind == "iban":
+        return mention.replace(" ", "")
+    if kind == "ipv6":
+        return mention.lower()
+    if kind == "name":
+        return f"{gender}|{unicodedata.normalize('NFC', mention).casefold()}"
+    return mention
+
+
+class Cipher:
+    """A keyed permutation of all strings of one format, by a Feistel network with cycle walking."""
+
+    def __init__(self, key: bytes):
+        self.key = key
+
+    def number(self, n: int, size: int, kind: str) -> int:
+        """A permutation of range(size), different for each kind and size."""
+        if size <= 1:
+            return n
+        half = 1
+        while half * half < size:
+            half *= 2
+        width = (half.bit_length() + 7) // 8
+        while True:
+            left, right = divmod(n, half)
+            for r in range(6):
+                data = f"{kind}|{size}|{r}|".encode() + right.to_bytes(width, "big")
+                left, right = right, (left + int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=min(64, width + 8)).digest(), "big")) % half
+            n = left * half + right
+            if n < size:
+                return n
+
+    def text(self, s: str, kind: str, classes: list[str]) -> str:
+        """Replace every character by one of its class (a string of alternatives); an empty class keeps it."""
+        n, size = 0, 1
+        for c, alternatives in zip(s, classes):
+            if alternatives:
+                n, size = n * len(alternatives) + alternatives.index(c), size * len(alternatives)
+        shape = "".join(a[0] if a else c for c, a in zip(s, classes))
+        n, out = self.number(n, size, f"{kind}|{shape}"), list(s)
+        for i in range(len(s) - 1, -1, -1):
+            if classes[i]:
+                n, k = divmod(n, len(classes[i]))
+                out[i] = classes[i][k]
+        return "".join(out)
+
+
+@lru_cache(maxsize=4096)
+def _class(c: str) -> str:
+    """The characters that may stand for `c`: digits for digits, letters of its script and case for letters."""
+    for a in ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        if c in a:
+            return a
+    if not c.isalpha():
+        return ""
+    block, kind = ord(c) // 64 * 64, unicodedata.category(c)
+    return "".join(chr(i) for i in range(block, block + 64) if unicodedata.category(chr(i)) == kind)
+
+
+def _kept_first(digits: str) -> list[str]:
+    """Digits for digits; the first keeps its kind (0 and 1 begin no subscriber number)."""
+    return [("01" if c in "01" else "23456789") if i == 0 else "0123456789" for i, c in enumerate(digits)]
+
+
+def luhn(digits: str) -> int:
+    """The check digit that completes `digits`."""
+    total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(digits)))
+    return -total % 10
+
+
+def _iban_check(country: str, rest: str) -> str:
+    return f"{98 - int(''.join(str(int(c, 36)) for c in rest + country + '00')) % 97:02d}"
+
+
+def surrogate(cipher: Cipher, kind: str, core: str) -> str:
+    """The core that stands for `core`: a permutation of the cores of its format."""
+    if kind == "email":
+        local, _, domain = core.rpartition("@")
+        host, _, top = domain.rpartition(".")
+        # mail hosts are entities of their own: one host, one surrogate
+        return cipher.text(local, "local", [_class(c) for c in local]) + "@" + cipher.text(host, "host", [_class(c) for c in host]) + "." + top
+    if kind == "ip":
+        n = cipher.number(sum(int(o) << (24 - 8 * i) for i, o in enumerate(core.split("."))), 1 << 32, kind)
+        return ".".join(str(n >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "ipv6":
+        n = cipher.number(sum(int(o, 16) << (112 - 16 * i) for i, o in enumerate(core.split(":"))), 1 << 128, kind)
+        return ":".join(f"{n >> s & 65535:x}" for s in range(112, -1, -16))
+    if kind == "phone":
+        country, digits = core.split("|")
+        return f"{country}|{cipher.text(digits, kind, _kept_first(digits))}"
+    if kind == "account":
+        if luhn(core[:-1]) == int(core[-1]):
+            body = cipher.text(core[1:-1], "luhn" + core[0], ["0123456789"] * (len(core) - 2))
+            return core[0] + body + str(luhn(core[0] + body))
+        return core[0] + cipher.text(core[1:], kind + core[0], ["0123456789"] * (len(core) - 1))
+    if kind == "ssn":
+        return cipher.text(core, kind, ["0123456789"] * len(core))
+    if kind == "iban":
+        country, rest = core[:2], core[4:]
+        rest2 = cipher.text(rest, kind + country, [_class(c) for c in rest])
+        return country + (_iban_check(country, rest2) if _iban_check(country, rest) == core[2:4] else core[2:4]) + rest2
+    if kind == "name":
+        gender, words = core.split("|", 1)
+        return f"{gender}|" + " ".join(_name_word(cipher, w, gender if i == 0 and " " in words else "s") for i, w in enumerate(words.split(" ")))
+    hexed = re.fullmatch(r"(?:0x)?([0-9a-f]{8,}|[0-9A-F]{8,})", core)
+    if hexed:
+        digits = "0123456789abcdef" if hexed[1] == hexed[1].lower() else "0123456789ABCDEF"
+        head = core[: len(core) - len(hexed[1])]
+        return head + cipher.text(hexed[1], kind, [digits] * len(hexed[1]))
+    return cipher.text(core, kind, [_class(c) for c in core])
+
+
+def _name_word(cipher: Cipher, word: str, role: str) -> str:
+    """A name from the list of its script and role; a name of the lists is permuted among them, others are enciphered."""
+    script = "cyrillic" if "а" <= word[0] <= "я" or word[0] == "ё" else "latin" if word[0] < "ɐ" else ""
+    names = [n.casefold() for n in NAMES.get((script, role if role != "n" else "f"), ())]
+    if role == "n" and script:
+        names += [n.casefold() for n in NAMES[script, "m"]]
+    if names:
+        # a prefix from the list, told apart by a second part where the list is too short
+        mapped = cipher.text(word, f"name|{role}", [_class(c) for c in word])
+        pick = int.from_bytes(hashlib.blake2b(mapped.encode(), key=cipher.key, digest_size=8).digest(), "big")
+        return names[pick % len(names)]
+    return cipher.text(word, f"name|{role}", [_class(c) for c in word])
+
+
+def nth_surrogate(cipher: Cipher, kind: str, core: str, attempt: int) -> str:
+    """After `attempt` collisions. Names leave their list at the second attempt: letters are enciphered, which never repeats."""
+    if kind == "name" and attempt > 0:
+        gender, words = core.split("|", 1)
+        for _ in range(attempt):
+            words = cipher.text(words, "letters", [_class(c) for c in words])
+        return f"{gender}|{words}"
+    for _ in range(attempt + 1):
+        core = surrogate(cipher, kind, core)
+    return core
+
+
+def written_like(kind: str, core: str, mention: str) -> str:
+    """The surrogate core with the punctuation and case of the mention."""
+    if kind in ("phone", "account", "ssn"):
+        digits = core.split("|")
+        supply = iter("".join(digits) if mention.lstrip().startswith("+") or kind != "phone" else digits[-1])
+        return "".join(next(supply, c) if c.isdigit() else c for c in mention)
+    if kind == "iban":
+        supply = iter(core)
+        return "".join(c if c == " " else next(supply) for c in mention)
+    if kind == "name":
+        core = core.split("|", 1)[1]
+        return core.upper() if mention.isupper() and len(mention) > 1 else " ".join(w[:1].upper() + w[1:] for w in core.split(" "))
+    if kind in ("email", "ipv6") and mention != mention.lower():
+        return "".join(c.upper() if m.isupper() else c for c, m in zip(core, mention)) if len(core) == len(mention) else core
+    return core
+
+
+def replace_entities(text: str, cipher: Cipher, exceptions: dict[tuple[str, str], int]) -> tuple[str, dict[str, int]]:
+    """The text with surrogates, and how many of each kind."""
+    found = find_entities(text)
+    if not found:
+        return text, {}
+    out, at, counts = [], 0, {}
+    for a, b, kind, gender in found:
+        mention = text[a:b]
+        core = core_of(kind, mention, gender)
+        out += [text[at:a], written_like(kind, nth_surrogate(cipher, kind, core, exceptions.get((kind, core), 0)), mention)]
+        counts[kind] = counts.get(kind, 0) + 1
+        at = b
+    return "".join([*out, text[at:]]), counts
+
+
+def entities(texts: DataFrame) -> DataFrame:
+    """text_hash, kind, core of the entities of each text (columns text_hash, text), each once a text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for kind, core in {(kind, core_of(kind, t[a:b], g)) for a, b, kind, g in find_entities(t or "")}:
+                    for column, v in zip(out, (h, kind, core)):
+                        column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["text_hash", "kind", "core"])
+
+    return texts.mapInArrow(run, "text_hash long, kind string, core string")
+
+
+def _with_surrogates(cores: DataFrame, key: bytes) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cipher = Cipher(key)
+        for batch in batches:
+            made = [nth_surrogate(cipher, *x) for x in zip(*(batch.column(i).to_pylist() for i in range(3)))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "core", "attempt", "made"])
+
+    return cores.select("kind", "core", "attempt").mapInArrow(run, "kind string, core string, attempt int, made string")
+
+
+def exceptions(found: DataFrame, key: bytes) -> DataFrame:
+    """kind, core, attempt of the entities whose first surrogate is another entity or another's surrogate."""
+    spark = found.sparkSession
+    cores, _ = stage(found.select("kind", "core").distinct(), "entities")
+    current, path = stage(_with_surrogates(cores.withColumn("attempt", F.lit(0)), key), "made")
+    while True:
+        real = cores.select("kind", F.col("core").alias("made"))
+        # the smallest core of those that share a surrogate keeps it
+        taken = current.groupBy("kind", "made").agg(F.min(F.struct("attempt", "core")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        again = current.join(real, ["kind", "made"], "left_semi").select("kind", "core").union(current.join(taken, ["kind", "made"]).where("core <> first.core").select("kind", "core")).distinct()
+        again, again_path = stage(again, "again")
+        if again.isEmpty():
+            return current.where("attempt > 0").select("kind", "core", "attempt")
+        redo = current.join(again.withColumn("bad", F.lit(1)), ["kind", "core"], "left").select("kind", "core", (F.col("attempt") + F.coalesce("bad", F.lit(0))).alias("attempt"))
+        current, new_path = stage(_with_surrogates(redo, key), "made")
+        drop_staged(spark, path)
+        drop_staged(spark, again_path)
+        path = new_path
+
+
+def replace_personal_data(docs: DataFrame, key: bytes = b"kinweave", text: str = "text", max_broadcast: int = MAX_BROADCAST) -> DataFrame:
+    """`docs` with surrogates in the column `text`, and the column `replaced` (map of kind to count)."""
+    if "replaced" in docs.columns:
+        raise ValueError("rename the input's column replaced")
+    hashed = F.xxhash64(text)
+    found, _ = stage(entities(docs.where(F.col(text).isNotNull()).select(hashed, F.col(text))), "found")
+    odd, _ = stage(exceptions(found, key), "exceptions")
+    n, names, at = odd.count(), docs.columns, docs.columns.index(text)
+
+    def rewrite(shared):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cipher, common = Cipher(key), shared.value if shared else {}
+            for batch in batches:
+                given, out, counts = batch.column(at).to_pylist(), [], []
+                own = batch.column(len(names)).to_pylist() if batch.num_columns > len(names) else [None] * len(given)
+                for t, mine in zip(given, own):
+                    special = {(x["kind"], x["core"]): x["attempt"] for x in mine} if mine else common
+                    new, count = replace_entities(t, cipher, special) if t is not None else (None, {})
+                    out.append(new)
+                    counts.append(sorted(count.items()))
+                columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.map_(pa.string(), pa.int32()))], [*names, "replaced"])
+
+        return run
+
+    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema.fields), T.StructField("replaced", T.MapType(T.StringType(), T.IntegerType()))])
+    if n <= max_broadcast:
+        shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["core"]): r["attempt"] for r in odd.collect()})
+        return docs.mapInArrow(rewrite(shared), schema)
+    per_text = found.join(odd, ["kind", "core"]).groupBy("text_hash").agg(F.collect_list(F.struct("kind", "core", "attempt")).alias("_kw_odd"))
+    per_text, _ = stage(per_text, "per-text")
+    bits = filter_bits(per_text.count())
+    pieces, _ = stage(bit_filter(per_text.select(position(F.col("text_hash"), bits).alias("pos")), bits), "filter")
+    here = F.coalesce(marked(pieces.select("pieces").scalar(), position(hashed, bits)), F.lit(False))
+    joined = docs.where(here).join(per_text.withColumnRenamed("text_hash", "_kw_hash"), hashed == F.col("_kw_hash"), "left").drop("_kw_hash")
+    return docs.where(~here).mapInArrow(rewrite(None), schema).unionByName(joined.mapInArrow(rewrite(None), schema))
