@@ -1,21 +1,54 @@
-"""The corpus pipeline: language ID, exact dedup, near-dedup, surrogates for personal data, packing."""
+"""The corpus pipeline: language ID, exact dedup, near-dedup, surrogates for personal data, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept. All stages but the last
+return the columns they are given. Defined cases (nulls, ties, empty tables, further columns) are those of the
+operators in kinweave.llm.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kinweave.llm.bloomdedup import exact_dedup as keep_one_of_equals
+from kinweave.llm.dartminhash import drop_near_duplicates
+from kinweave.llm.langid import UNKNOWN, held_out, predict, train
+from kinweave.llm.packing import pack
+from kinweave.llm.surrogates import replace_personal_data
 from kinweave.sources.tables import table
 from kinweave.staging import stage
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language cannot be told (no text, or no letter in it) go."""
+    found = predict(docs, train(docs.where(~held_out())))
+    return found.where(F.col("lang_pred") != UNKNOWN).drop("lang_pred", "score")
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays."""
-    from kinweave.llm.bloomdedup import exact_dedup as keep_one
+    return keep_one_of_equals(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the smallest doc_id stays."""
+    return drop_near_duplicates(docs)
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gives way to surrogates; n_chars follows the new text."""
+    done = replace_personal_data(docs)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.size("replaced") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return done.drop("replaced")
+
 
-    return keep_one(docs)
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 tokens: a row per piece, with its token ids."""
+    return pack(docs)
 
 
-STAGES = [("exact_dedup", exact_dedup)]
+STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("surrogates", surrogates), ("best_fit_packing", best_fit_packing)]
 
 #: SQL cannot express the classifier, the sketches or the tokenizers; tests compare with brute force instead.
 ORACLE_SQL = None
