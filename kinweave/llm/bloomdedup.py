@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.staging import stage
+
 #: Bits in one stored piece of a filter; bitmap_construct_agg builds pieces of this size.
 PIECE = 32768
 #: Largest filter, in bits (128 MB). Beyond it more single rows shuffle; the result is the same.
@@ -71,8 +73,8 @@ def dedup_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ma
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("text_sha256"), maybe.alias("maybe"))
     alone = rows.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     some = rows.where("maybe").groupBy("text_sha256", "doc_id").agg(F.count("*").alias("times"))
-    groups = some.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size"))
-    # a hot group is one key of this join: adaptive execution splits it, as the other side has one row a key
+    groups, _ = stage(some.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.sum("times").alias("group_size")), "groups")
+    # a hot group is one key of this join: adaptive execution splits it, as the other side is a table of one row a key
     found = some.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256", F.explode(F.sequence(F.lit(1).cast("bigint"), "times")).alias("nth"))
     return alone.unionByName(found.select("doc_id", "keep_id", "group_size", ((F.col("nth") == 1) & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256"))
 
