@@ -46,8 +46,8 @@ class Memory:
     def missing(self, split: list[list[str]]) -> list[str]:
         """The words of a slice that are not known; `known` has room for them."""
         words = set().union(*split)
-        new = words - self.known.keys()
-        self.again |= words & self.known.keys()
+        new = words.difference(self.known)
+        self.again |= words - new
         if len(self.known) + len(new) > self.most:
             keep = self.again if len(self.again) + len(new) <= self.most else self.again & words
             self.known, self.again = {w: self.known[w] for w in keep}, set()
@@ -63,12 +63,13 @@ class Memory:
 #: Characters beyond Latin, whose lower case or composition may depend on their neighbours, and control characters.
 _OTHER = re.compile("[^\x00-\x1b\x20-\u024f]")
 #: A full stop or comma beside another mark, with which it forms one piece.
-_RUN = re.compile(r"(?:[^\w\s]|_)[.,]|[.,](?:[^\w\s]|_)")
+_RUN = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
 
 
 def _words(text: str) -> list[str]:
     """Parts of a text that a lower-casing, space-dropping pre-tokenizer takes apart as well."""
-    if _OTHER.search(text) is None:
+    latin = not any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) if text.isascii() else _OTHER.search(text) is None
+    if latin:
         text = text.lower()
         if _RUN.search(text) is None:
             text = text.replace(".", " .").replace(",", " ,")
@@ -85,9 +86,11 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.simple = Tokenizer(self.tokenizer.model)
+        self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.tokenizer.encode_special_tokens = True
         self.memory = Memory()
         vocabulary = self.tokenizer.get_vocab()
@@ -97,13 +100,17 @@ class WordEncoder:
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words, many in one call."""
-        plain = [w for w in words if w.isalpha()] if self.ends.any() else []
-        self._learn_letters(plain)
-        self._learn_marked([w for w in words if not w.isalpha()] if plain else words)
-
-    def _learn_letters(self, words: list[str]) -> None:
+        if not self.ends.any():
+            return self._learn_marked(words)
+        letters = [w for w in words if w.isalpha()]
+        # nothing is left to normalise or take apart in lower-case ASCII letters
+        self._learn_letters([w for w in letters if w.isascii() and w.islower()], self.simple)
+        self._learn_letters([w for w in letters if not (w.isascii() and w.islower())], self.tokenizer)
+        self._learn_marked([w for w in words if not w.isalpha()])
+
+    def _learn_letters(self, words: list[str], tokenizer) -> None:
         """Words of letters only are one piece each, and the last id of a piece ends a word."""
-        for part, e in self._encode_joined(words, " "):
+        for part, e in self._encode_joined(words, " ", tokenizer):
             ids = np.array(e.ids, dtype="<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(part) and at[-1] == len(ids):
@@ -117,7 +124,7 @@ class WordEncoder:
         for w in alone:
             self.memory.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
         k = len(self.mark)
-        for part, e in self._encode_joined([w for w in words if _MARK not in w] if alone else words, f" {_MARK} "):
+        for part, e in self._encode_joined([w for w in words if _MARK not in w] if alone else words, f" {_MARK} ", self.tokenizer):
             ids = np.array(e.ids, dtype="<u4")
             n = len(ids) - k + 1
             at = np.flatnonzero(np.logical_and.reduce([ids[i : n + i] == m for i, m in enumerate(self.mark)])) if n > 0 else np.zeros(0, int)
@@ -125,9 +132,9 @@ class WordEncoder:
                 raise ValueError("the vocabulary joins what white space separates")
             self._keep(part, ids.tobytes(), [0, *((at + k) * 4).tolist()], [*(at * 4).tolist(), 4 * len(ids)])
 
-    def _encode_joined(self, words: list[str], between: str) -> Iterator[tuple[list[str], object]]:
+    def _encode_joined(self, words: list[str], between: str, tokenizer) -> Iterator[tuple[list[str], object]]:
         parts = [words[i : i + 2000] for i in range(0, len(words), 2000)]
-        yield from zip(parts, self.tokenizer.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False))
+        yield from zip(parts, tokenizer.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False))
 
     def _keep(self, words: list[str], raw: bytes, begins: list[int], ends: list[int]) -> None:
         for w, a, b in zip(words, begins, ends):
