@@ -8,10 +8,12 @@ a coordinate is the signature there. A coordinate that got no dart doubles the t
 coordinate with the probability of the weighted Jaccard similarity.
 
 Join. Documents with equal shingle sets are one node. Signatures are cut into bands; nodes that share a band meet in a
-bucket. Each bucket's members are checked against its hub, on the exact shingle sets. Buckets that still hold more
-than one class get a second round: members outside the bucket's largest class meet all others of different class
-there, first on whole signatures (pairs far below the threshold go), then exactly. So no link between documents that
-share a bucket is lost, and no group is expanded into all its pairs.
+bucket. The hub of a bucket is its member that meets the most others in all its buckets, the centre of a cloud of
+copies. Members are checked against their hubs on the exact shingle sets. All buckets of one hub form a group. Where a
+group still holds several classes, a second round compares those outside its largest class with all members of other
+classes: the group is cut into blocks, and each pair of blocks is compared in one task on second, longer signatures of
+one byte a coordinate; only pairs within five standard errors of the threshold leave the task, to be checked exactly.
+So no link between documents that share a bucket is lost, and no group is expanded into all its pairs.
 
 Defined cases: words are runs of ASCII letters, digits, underscore or any non-ASCII characters of the lower-case
 text; a text of 1 to 4 words is one shingle; texts without words are near-copies only if equal; a null text is the
@@ -36,6 +38,8 @@ from kinweave.staging import drop_staged, stage
 WORDS, SIMILARITY = 5, 0.8
 #: Bands and rows in a band: at a similarity of 0.8 a pair shares no band with probability 3e-6.
 BANDS, ROWS = 24, 4
+#: Coordinates of the second signatures, and nodes of a block in the second round.
+SECOND, BLOCK = 512, 512
 _SLICE = 1_000_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -192,14 +196,49 @@ def _compare(threshold: float):
     return run
 
 
-def _alike(least: int):
+def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A byte for each coordinate of a longer signature."""
+    for batch in batches:
+        sets = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+        for i in range(0, len(sets), 200):
+            sig = signatures(sets[i : i + 200], k=SECOND).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sig)), pa.array([x.tobytes() for x in sig], pa.binary())], ["node", "sig"])
+
+
+def _blocks(similarity: float):
+    """Pairs of a block of outsiders (side 1) and a block of members (side 0) that may be near; rows come sorted by block pair."""
+    agree = similarity + (1 - similarity) / 256
+    least = int(SECOND * agree - 5 * math.sqrt(SECOND * agree * (1 - agree)))
+
+    def pairs(held: list[dict[str, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        x = {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+        left, right = x["side"] == 1, x["side"] == 0
+        nodes, labels, outside, sig, hub = x["node"][right], x["label"][right], x["outside"][right], x["sig"][right], x["hub"][0]
+        for node, label, mine in zip(x["node"][left].tolist(), x["label"][left].tolist(), x["sig"][left]):
+            if node == hub:
+                continue
+            some = np.flatnonzero((labels != label) & (nodes != hub) & (~outside | (nodes > node)))
+            if len(some):
+                near = nodes[some[(sig[some] == mine).sum(axis=1) >= least]]
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(near, node)), pa.array(np.minimum(near, node))], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict[str, np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for i in (2, 3))
-            mask = pa.array((x == y).sum(axis=1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+            x = {name: batch.column(i).to_numpy(zero_copy_only=False) for i, name in enumerate(["hub", "i", "j", "side", "node", "label", "outside"])}
+            x["sig"] = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(batch.num_rows, SECOND)
+            ends = [*(np.flatnonzero(np.diff(x["hub"]) | np.diff(x["i"]) | np.diff(x["j"])) + 1).tolist(), batch.num_rows]
+            for a, b in zip([0, *ends], ends):
+                part = {k: v[a:b] for k, v in x.items()}
+                if held and any(held[0][k][0] != part[k][0] for k in ("hub", "i", "j")):
+                    yield from pairs(held)
+                    held = []
+                held.append(part)
+        if held:
+            yield from pairs(held)
 
     return run
 
@@ -237,10 +276,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sketch, _ = stage(given.mapInArrow(_sketch, "doc_id long, text_hash long, node long, bands array<long>, sig binary"), "sketch")
     nodes = sketch.groupBy("node").agg(F.first("bands").alias("bands"))
     banded, banded_path = stage(nodes.select("node", F.explode("bands").alias("bucket")), "bands")
-    hubs, hubs_path = stage(banded.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1"), "hubs")
-    met, met_path = stage(banded.join(hubs, "bucket"), "met")
+    met, met_path = stage(banded.join(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "met")
     drop_staged(spark, banded_path)
-    stars, stars_path = stage(met.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    rated, rated_path = stage(met.select("bucket", "node").join(met.groupBy("node").agg(F.sum("n").alias("meets")), "node"), "rated")
+    hubs = rated.groupBy("bucket").agg(F.max(F.struct("meets", "node"))["node"].alias("hub"))
+    stars, stars_path = stage(rated.join(hubs, "bucket").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    for p in (met_path, rated_path):
+        drop_staged(spark, p)
 
     # the shingles of nodes that met another, from a second reading of the texts that may be theirs
     wanted = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
@@ -257,28 +299,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     links, links_path = stage(check(stars), "links")
     labels = components(links)
 
-    # buckets of three or more that still hold several classes
-    labelled = met.where("n > 2").join(labels, "node", "left").select("bucket", "node", "hub", F.coalesce("label", "node").alias("label"))
-    counted = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("classes")).where("classes > 1")
-    opened, opened_path = stage(labelled.join(counted.select("bucket", "main"), "bucket"), "open")
+    # groups of three or more that still hold several classes; one with two members has been decided
+    members = stars.select(F.col("b").alias("hub"), F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("hub"), F.col("b").alias("node")).distinct())
+    labelled, labelled_path = stage(members.join(labels, "node", "left").select("hub", "node", F.coalesce("label", "node").alias("label")), "members")
+    sizes = labelled.groupBy("hub", "label").agg(F.count("*").alias("n")).groupBy("hub").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("classes"), F.sum("n").alias("n"))
+    opened, opened_path = stage(labelled.join(sizes.where("classes > 1 AND n > 2").select("hub", "main", "n"), "hub"), "open")
+    paths = [stars_path, ids_path, here_path, sets_path, labelled_path, opened_path]
     if not opened.isEmpty():
-        sigs = sketch.groupBy("node").agg(F.first("sig").alias("sig")).join(opened.select("node").distinct(), "node", "left_semi")
-        sigs, sigs_path = stage(sigs, "signatures")
-        rest = opened.where("label <> main").select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("hub").alias("hub"))
-        every = opened.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("main").alias("main_b"))
-        pairs = rest.join(every, "bucket").where("la <> lb AND a <> hub AND b <> hub AND (lb = main_b OR a < b)").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        near = pairs.join(sigs.withColumnsRenamed({"node": "a", "sig": "x"}), "a").join(sigs.withColumnsRenamed({"node": "b", "sig": "y"}), "b").select("a", "b", "x", "y")
-        k = BANDS * ROWS
-        least = int(k * similarity - 5 * math.sqrt(k * similarity * (1 - similarity)))
-        again, again_path = stage(check(near.mapInArrow(_alike(least), "a long, b long")), "links")
+        second, second_path = stage(sets.join(opened.select("node").distinct(), "node", "left_semi").mapInArrow(_second, "node long, sig binary"), "second")
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+        rows = opened.select("hub", "node", "label", (F.col("label") != F.col("main")).alias("outside"), own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        zero, one = F.lit(0).alias("side"), F.lit(1).alias("side")
+        grid = rows.select("hub", F.col("other").alias("i"), F.col("own").alias("j"), zero, "node", "label", "outside").unionByName(rows.where("outside").select("hub", F.col("own").alias("i"), F.col("other").alias("j"), one, "node", "label", "outside"))
+        near = grid.join(second, "node").select("hub", "i", "j", "side", "node", "label", "outside", "sig").repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(_blocks(similarity), "a long, b long").distinct()
+        near, near_path = stage(near, "near")
+        again, again_path = stage(check(near), "links")
         if not again.isEmpty():
             labels = components(links.unionByName(again))
-        drop_staged(spark, sigs_path)
-    for p in (hubs_path, met_path, stars_path, ids_path, here_path, sets_path, opened_path):
+        paths += [second_path, near_path]
+    for p in paths:
         drop_staged(spark, p)
 
     of = sketch.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("label"))
-    classes = of.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    of, _ = stage(of, "labels")
+    # a table of one row a class, so that adaptive execution can split a large class in the join
+    classes, _ = stage(of.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
     return of.join(classes, "label").select("doc_id", "text_hash", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
