@@ -185,9 +185,9 @@ def folded(text: pd.Series) -> pd.Series:
 
 def apply_distinct(df, columns: list[str], make: Callable, out: str):
     """Run an expensive function once for each distinct input and join the result back."""
-    done = df.select(*columns).distinct().withColumn(out, make(*[F.col(c) for c in columns]))
-    keys = [df[c].eqNullSafe(done[c]) for c in columns]
-    on = keys[0]
-    for k in keys[1:]:
-        on = on & k
-    return df.join(done, on, "left").select(*[df[c] for c in df.columns], done[out])
+    keys = [f"_k{i}" for i in range(len(columns))]
+    done = df.select(*[F.col(c).alias(k) for c, k in zip(columns, keys)]).distinct().withColumn(out, make(*[F.col(k) for k in keys]))
+    on = F.lit(True)
+    for c, k in zip(columns, keys):
+        on = on & F.col(c).eqNullSafe(F.col(k))
+    return df.join(done, on, "left").drop(*keys)

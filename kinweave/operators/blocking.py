@@ -25,8 +25,13 @@ def idf(both: DataFrame, n: Column | int, min_df: int = 2, max_share: float = 1.
 def weights(g: DataFrame, table: DataFrame) -> DataFrame:
     """id, part, gram, w: (1 + ln tf) x idf, of unit length for each text."""
     raw = g.join(table.select("gram", "idf"), "gram").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norm = raw.groupBy("id", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, ["id", "part"]).select("id", "part", "gram", (F.col("w") / F.col("norm")).alias("w"))
+    return _unit(raw)
+
+
+def _unit(raw: DataFrame) -> DataFrame:
+    """Weights divided by the length of their text's vector: one shuffle by text, no second pass."""
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("id", "part")))
+    return raw.select("id", "part", "gram", (F.col("w") / norm).alias("w"))
 
 
 def combine(fields: list[tuple[DataFrame, str, float]]) -> DataFrame:
@@ -43,8 +48,7 @@ def prune_for_search(w: DataFrame, pool: DataFrame, rows: int = 5000, share: flo
     sizes = pool.groupBy("part").agg(F.countDistinct("id").alias("rows"))
     common = pool.groupBy("part", "gram").agg(F.count("*").alias("df")).join(sizes, "part").where((F.col("rows") >= rows) & (F.col("df") > F.least(F.col("rows") * share, F.lit(most)))).select("part", "gram")
     kept = w.join(common, ["part", "gram"], "left_anti")
-    norm = kept.groupBy("id", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return kept.join(norm, ["id", "part"]).select("id", "part", "gram", (F.col("w") / F.col("norm")).alias("w"))
+    return _unit(kept)
 
 
 def cosines(s1: DataFrame, pool: DataFrame) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-S1, M = Window.partitionBy("s1_id"), Window.partitionBy("m_id")
-
 
 def side(key: str, score: str, tie: str, prefix: str) -> dict[str, Column]:
     """Dense rank, gap to the best and count of a pair's score among the pairs of one end."""
@@ -16,13 +14,14 @@ def side(key: str, score: str, tie: str, prefix: str) -> dict[str, Column]:
 
 def stage_two(pairs: DataFrame, p: str = "p") -> DataFrame:
     """Ten columns for stacking: rank, gap, sum and counts by s1; rank, rest, count, best other and margin by record."""
-    ranked = pairs.withColumn("rec_rank", F.row_number().over(M.orderBy(F.desc(p), "s1_id")))
-    second = F.max(F.when(F.col("rec_rank") == 2, F.col(p))).over(M)
-    other = F.coalesce(F.when(F.col("rec_rank") == 1, second).otherwise(F.max(p).over(M)), F.lit(0.0))
+    s1, m = Window.partitionBy("s1_id"), Window.partitionBy("m_id")
+    ranked = pairs.withColumn("rec_rank", F.row_number().over(m.orderBy(F.desc(p), "s1_id")))
+    second = F.max(F.when(F.col("rec_rank") == 2, F.col(p))).over(m)
+    other = F.coalesce(F.when(F.col("rec_rank") == 1, second).otherwise(F.max(p).over(m)), F.lit(0.0))
     return ranked.select(
-        *pairs.columns, F.row_number().over(S1.orderBy(F.desc(p), "m_id")).alias("s1_rank"), (F.max(p).over(S1) - F.col(p)).alias("s1_gap"), F.sum(p).over(S1).alias("s1_sum"),
-        F.count(F.when(F.col(p) >= 0.5, 1)).over(S1).alias("s1_n50"), F.count(F.when(F.col(p) >= 0.2, 1)).over(S1).alias("s1_n20"),
-        "rec_rank", (F.sum(p).over(M) - F.col(p)).alias("rec_rest"), F.count("*").over(M).alias("rec_n"), other.alias("rec_other"), (F.col(p) - other).alias("rec_margin"),
+        *pairs.columns, F.row_number().over(s1.orderBy(F.desc(p), "m_id")).alias("s1_rank"), (F.max(p).over(s1) - F.col(p)).alias("s1_gap"), F.sum(p).over(s1).alias("s1_sum"),
+        F.count(F.when(F.col(p) >= 0.5, 1)).over(s1).alias("s1_n50"), F.count(F.when(F.col(p) >= 0.2, 1)).over(s1).alias("s1_n20"),
+        "rec_rank", (F.sum(p).over(m) - F.col(p)).alias("rec_rest"), F.count("*").over(m).alias("rec_n"), other.alias("rec_other"), (F.col(p) - other).alias("rec_margin"),
     )
 
 

@@ -13,11 +13,12 @@ from kinweave.operators.pairs import SHIFTS
 
 def number_relation(a: Column, b: Column) -> Column:
     """missing, eq, shift, sub, neg_small, near_other or far, of two multisets of integers; the first that holds."""
-    gaps = F.flatten(F.transform(F.array_except(a, b), lambda x: F.transform(F.array_except(b, a), lambda y: (y - x).cast("bigint"))))
+    less, more = X.multiset_minus(a, b), X.multiset_minus(b, a)
+    gaps = F.flatten(F.transform(less, lambda x: F.transform(more, lambda y: (y - x).cast("bigint"))))
     some = lambda test: F.exists(gaps, test)
     return (
         F.when((F.size(a) == 0) | (F.size(b) == 0), "missing").when(F.array_sort(a) == F.array_sort(b), "eq").when(some(lambda g: g.isin(SHIFTS)), "shift")
-        .when((F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0), "sub").when(some(lambda g: g.between(-21, -1)), "neg_small")
+        .when((F.size(less) == 0) | (F.size(more) == 0), "sub").when(some(lambda g: g.between(-21, -1)), "neg_small")
         .when(some(lambda g: F.abs(g) <= 100), "near_other").otherwise("far")
     )
 

@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Count and sum of values by window and type. On a stream, rows later than `late` are dropped and state is bounded by it."""
-    x = events.withWatermark("ts", late) if events.isStreaming else events
+    x = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     agg = x.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return agg.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
 
 
 def once(events: DataFrame, late: str = "2 hours") -> DataFrame:
     """Each event_id once, within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"]) if events.isStreaming else events.dropDuplicates(["event_id"])
 
 
 def read_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet") -> DataFrame:
