@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.tokens import Memory, byte_ranks, slices, vocabulary_path
+from kinweave.llm.tokens import Memory, byte_ranks, hold, slices, small_batches, trim, vocabulary_path
 
 LONGEST = 1024
 NONE = np.int32(2**31 - 1)
@@ -185,6 +185,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, pattern: str |
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
+        hold("bytes")
         bpe = byte_bpe(vocabulary or vocabulary_path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
         for batch in batches:
             keys, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
@@ -203,6 +204,7 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, pattern: str |
                 if with_ids:
                     columns, names = [*columns, pa.array(own, pa.binary()), pa.array(whole, pa.string())], [*names, "ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        trim()
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)

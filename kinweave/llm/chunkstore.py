@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.bloomdedup import bit_filter, filter_bits, marked, position
-from kinweave.llm.tokens import slices, vocabulary_path, word_encoder
+from kinweave.llm.tokens import hold, slices, small_batches, trim, vocabulary_path, word_encoder
 from kinweave.staging import drop_staged, shared_dir, stage
 
 WINDOW, SHORTEST, MEAN, LONGEST = 8, 128, 512, 2048
@@ -81,6 +81,7 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 def _cut_documents(docs: DataFrame, vocabulary: str | None, end_id: int, width: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("words")
         encoder, row = word_encoder(vocabulary or vocabulary_path("word_bpe_49k.json")), TaskContext.get().partitionId() << 33
         end, met = np.array([end_id], "<u4").tobytes(), set()
         for batch in batches:
@@ -102,8 +103,9 @@ def _cut_documents(docs: DataFrame, vocabulary: str | None, end_id: int, width:
                     row += 1
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types)], ["row", "doc_id", "at", "name", "ids", "n_tokens", "names", "root"])
+        trim()
 
-    return docs.mapInArrow(run, _CUT)
+    return small_batches(docs).mapInArrow(run, _CUT)
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

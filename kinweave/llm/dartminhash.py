@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.bloomdedup import bit_filter, filter_bits, marked, position
-from kinweave.llm.tokens import slices
+from kinweave.llm.tokens import hold, slices, small_batches, trim
 from kinweave.staging import drop_staged, stage
 
 WORDS, SIMILARITY = 5, 0.8
@@ -40,7 +40,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 4
 #: Coordinates of the second signatures, and nodes of a block in the second round.
 SECOND, BLOCK = 512, 512
-_SLICE = 1_000_000
+_SLICE = 500_000
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -71,7 +71,7 @@ def shingles(texts: list[str], words: int = WORDS) -> list[np.ndarray]:
     inside = _word_bytes()[raw]
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     begins, ends = edges[::2], edges[1::2]
-    up, down = _powers(1 << max(20, (len(raw) + 1).bit_length()))
+    up, down = _powers(1 << max(19, (len(raw) + 1).bit_length()))
     sums = np.concatenate([[np.uint64(0)], np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * up[: len(raw)], dtype=np.uint64)])
     h = mix((sums[ends] - sums[begins]) * down[begins])
     bounds = np.searchsorted(begins, 1 + np.concatenate([[0], np.cumsum([len(c) + 1 for c in coded])]))
@@ -161,6 +161,7 @@ def _node(found: np.ndarray, text: str) -> int:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("shingles")
     for batch in batches:
         texts = [t or "" for t in batch.column(2).to_pylist()]
         for a, b in slices(texts, _SLICE):
@@ -168,6 +169,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sig = signatures(sets)
             bands = [h if len(s) else [] for h, s in zip(band_hashes(sig).tolist(), sets)]
             yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), pa.array([_node(s, t) for s, t in zip(sets, texts[a:b])], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "text_hash", "node", "bands", "sig"])
+    trim()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +178,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b in slices(texts, _SLICE):
             sets = [np.unique(s) for s in shingles(texts[a:b])]
             yield pa.RecordBatch.from_arrays([pa.array([_node(s, t) for s, t in zip(sets, texts[a:b])], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "shingles"])
+    trim()
 
 
 def _compare(threshold: float):
@@ -203,6 +206,7 @@ def _second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(sets), 200):
             sig = signatures(sets[i : i + 200], k=SECOND).astype(np.uint8)
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, len(sig)), pa.array([x.tobytes() for x in sig], pa.binary())], ["node", "sig"])
+    trim()
 
 
 def _blocks(similarity: float):
@@ -272,7 +276,7 @@ def _filtered(keys: DataFrame, key: Column, n: int) -> tuple[Column, str]:
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """A row per document: doc_id, text_hash, class_id (the smallest doc_id of its class), class_size, kept."""
     spark = docs.sparkSession
-    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"), F.col(text).cast("string").alias("text"))
+    given = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"), F.col(text).cast("string").alias("text"))
     sketch, _ = stage(given.mapInArrow(_sketch, "doc_id long, text_hash long, node long, bands array<long>, sig binary"), "sketch")
     nodes = sketch.groupBy("node").agg(F.first("bands").alias("bands"))
     banded, banded_path = stage(nodes.select("node", F.explode("bands").alias("bucket")), "bands")
@@ -330,9 +334,18 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """`docs` with one document of each class, all columns. Only rows that may go are shuffled."""
-    gone, _ = stage(near_duplicates(docs, text, doc_id, similarity).where("NOT kept").select(F.col("doc_id").alias("_kw_id"), F.col("text_hash").alias("h")).distinct(), "gone")
+    gone, _ = stage(near_duplicates(docs, text, doc_id, similarity).where("NOT kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h")).distinct(), "gone")
     text_hash = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
     maybe, _ = _filtered(gone, text_hash, gone.count())
-    left = docs.where(maybe)
-    held = left.join(gone, text_hash.eqNullSafe(F.col("h")) & F.col(doc_id).cast("long").eqNullSafe(F.col("_kw_id")), "left_anti")
+    id_, h = free_name(docs, "id"), free_name(docs, "h")
+    lost = gone.select(F.col("id").alias(id_), F.col("h").alias(h))
+    held = docs.where(maybe).join(lost, text_hash.eqNullSafe(F.col(h)) & F.col(doc_id).cast("long").eqNullSafe(F.col(id_)), "left_anti")
     return docs.where(~maybe).unionByName(held)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that no column of `df` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinweave.llm.tokens import slices
+from kinweave.llm.tokens import hold, slices, small_batches, trim
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 #: Labelled documents that training takes at most, about; they are chosen by a hash of the text.
 TRAIN_DOCS = 40_000
 UNKNOWN = "und"
-_PARTS = 16
+_PARTS, _SLICE = 16, 500_000
 _ODD = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
 
 
@@ -60,17 +60,18 @@ def grams(texts: list[str], orders: tuple[int, ...] = ORDERS, buckets: int = BUC
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", train_docs: int = TRAIN_DOCS, orders: tuple[int, ...] = ORDERS, buckets: int = BUCKETS) -> tuple[list[str], np.ndarray]:
     """Languages and the matrix of log probabilities [buckets + 1, languages]; its last row holds the priors."""
-    rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    rows = small_batches(docs).select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     share = min(1.0, train_docs / max(1, docs.where(F.col(lang).isNotNull()).count()))
     if share < 1:
         rows = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("langid")
         names: dict[str, int] = {}
         sums: list[np.ndarray] = []
         for batch in batches:
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts, 1_000_000):
+            for a, b in slices(texts, _SLICE):
                 found, begins, _ = grams(texts[a:b], orders, buckets)
                 for x in langs[a:b]:
                     if x not in names:
@@ -103,24 +104,30 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
     if {"lang_pred", "score"} & set(docs.columns):
         raise ValueError("rename the input's columns lang_pred and score")
     shared, at, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text), docs.columns
+    labels = [*(f"c{i}" for i in range(len(names))), "lang_pred", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("langid")
         langs, matrix = shared.value
         for batch in batches:
             given = batch.column(at).to_pylist()
             best, score = [UNKNOWN] * len(given), [0.0] * len(given)
             texts = [t or "" for t in given]
-            for a, b in slices(texts, 1_000_000) if langs else ():
+            for a, b in slices(texts, _SLICE) if langs else ():
                 found, begins, letters = grams(texts[a:b], orders, len(matrix) - 1)
                 sums = matrix[-1] + sum(np.add.reduceat(matrix[f], begins, axis=0) for f in found)
                 top = sums.argmax(axis=1)
                 p = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
                 for i in np.flatnonzero(letters):
                     best[a + i], score[a + i] = langs[top[i]], float(p[i])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], [*names, "lang_pred", "score"])
-
-    fields = [T.StructField(f.name, f.dataType, True) for f in docs.schema.fields]
-    return docs.mapInArrow(run, T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best, pa.string()), pa.array(score, pa.float64())], labels)
+        trim()
+
+    # by place: mapInArrow cannot read names with dots
+    own = [f"c{i}" for i in range(len(names))]
+    fields = [T.StructField(c, f.dataType, True) for c, f in zip(own, docs.schema.fields)]
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return small_batches(docs).toDF(*own).mapInArrow(run, schema).toDF(*names, "lang_pred", "score")
 
 
 def held_out(doc_id: str = "doc_id"):

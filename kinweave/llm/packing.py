@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.llm.tokens import slices, vocabulary_path, word_encoder
+from kinweave.llm.tokens import hold, slices, small_batches, trim, vocabulary_path, word_encoder
 
 OPEN_BINS = 256
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary"
@@ -65,6 +65,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capaci
     """A row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, ids (little-endian unsigned 32-bit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("words")
         encoder = word_encoder(vocabulary or vocabulary_path("word_bpe_49k.json"))
         packer, base, end = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40, np.array([end_id], "<u4").tobytes()
         for batch in batches:
@@ -79,5 +80,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capaci
                         for column, v in zip(out, (key, k, at // 4, len(part) // 4, zlib.crc32(part), base + seq, offset, part)):
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary()])], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"])
+        trim()
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _SCHEMA)
+    return small_batches(docs).select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _SCHEMA)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.llm.tokens import byte_ranks, slices, vocabulary_path
+from kinweave.llm.tokens import byte_ranks, slices, small_batches, vocabulary_path
 
 BLOCK = 1 << 18
 _FLAT = "file int, block int, ids binary, first_doc long, doc_ids array<long>"
@@ -57,7 +57,7 @@ def write_flat(docs: DataFrame, end_id: int, vocabulary: str | None = None, widt
                         yield from flush(False)
         yield from flush(True)
 
-    return docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _FLAT)
+    return small_batches(docs).select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _FLAT)
 
 
 def _scan(end_id: int, width: str):

@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinweave.llm.bloomdedup import bit_filter, filter_bits, marked, position
+from kinweave.llm.dartminhash import free_name
+from kinweave.llm.tokens import hold, small_batches, trim
 from kinweave.staging import drop_staged, stage
 
 MAX_BROADCAST = 200_000
@@ -280,6 +282,7 @@ def entities(texts: DataFrame) -> DataFrame:
                     for column, v in zip(out, (h, kind, core)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["text_hash", "kind", "core"])
+        trim()
 
     return texts.mapInArrow(run, "text_hash long, kind string, core string")
 
@@ -318,6 +321,7 @@ def replace_personal_data(docs: DataFrame, key: bytes = b"kinweave", text: str =
     """`docs` with surrogates in the column `text`, and the column `replaced` (map of kind to count)."""
     if "replaced" in docs.columns:
         raise ValueError("rename the input's column replaced")
+    docs = small_batches(docs)
     hashed = F.xxhash64(text)
     found, _ = stage(entities(docs.where(F.col(text).isNotNull()).select(hashed, F.col(text))), "found")
     odd, _ = stage(exceptions(found, key), "exceptions")
@@ -325,6 +329,7 @@ def replace_personal_data(docs: DataFrame, key: bytes = b"kinweave", text: str =
 
     def rewrite(shared):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hold("surrogates")
             cipher, common = Cipher(key), shared.value if shared else {}
             for batch in batches:
                 given, out, counts = batch.column(at).to_pylist(), [], []
@@ -335,18 +340,23 @@ def replace_personal_data(docs: DataFrame, key: bytes = b"kinweave", text: str =
                     out.append(new)
                     counts.append(sorted(count.items()))
                 columns = [pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.map_(pa.string(), pa.int32()))], [*names, "replaced"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.map_(pa.string(), pa.int32()))], [*own_names, "replaced"])
+            trim()
 
         return run
 
-    schema = T.StructType([*(T.StructField(f.name, f.dataType, True) for f in docs.schema.fields), T.StructField("replaced", T.MapType(T.StringType(), T.IntegerType()))])
+    # by place: mapInArrow cannot read names with dots
+    own_names = [f"c{i}" for i in range(len(names))]
+    schema = T.StructType([*(T.StructField(c, f.dataType, True) for c, f in zip(own_names, docs.schema.fields)), T.StructField("replaced", T.MapType(T.StringType(), T.IntegerType()))])
     if n <= max_broadcast:
         shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["core"]): r["attempt"] for r in odd.collect()})
-        return docs.mapInArrow(rewrite(shared), schema)
+        return docs.toDF(*own_names).mapInArrow(rewrite(shared), schema).toDF(*names, "replaced")
     per_text = found.join(odd, ["kind", "core"]).groupBy("text_hash").agg(F.collect_list(F.struct("kind", "core", "attempt")).alias("_kw_odd"))
     per_text, _ = stage(per_text, "per-text")
     bits = filter_bits(per_text.count())
     pieces, _ = stage(bit_filter(per_text.select(position(F.col("text_hash"), bits).alias("pos")), bits), "filter")
     here = F.coalesce(marked(pieces.select("pieces").scalar(), position(hashed, bits)), F.lit(False))
-    joined = docs.where(here).join(per_text.withColumnRenamed("text_hash", "_kw_hash"), hashed == F.col("_kw_hash"), "left").drop("_kw_hash")
-    return docs.where(~here).mapInArrow(rewrite(None), schema).unionByName(joined.mapInArrow(rewrite(None), schema))
+    h, odd_name = free_name(docs, "h"), free_name(docs, "odd")
+    joined = docs.where(here).join(per_text.select(F.col("text_hash").alias(h), F.col("_kw_odd").alias(odd_name)), hashed == F.col(h), "left").drop(h)
+    both = docs.where(~here).toDF(*own_names).mapInArrow(rewrite(None), schema).unionByName(joined.toDF(*own_names, "odd").mapInArrow(rewrite(None), schema))
+    return both.toDF(*names, "replaced")

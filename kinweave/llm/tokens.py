@@ -3,21 +3,59 @@
 from __future__ import annotations
 
 import base64
+import ctypes
+import gc
 import os
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 
 #: Distinct words that a worker remembers.
-CACHED_WORDS = 500_000
+CACHED_WORDS = 250_000
 #: Characters that are worked on at once.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 2_000_000
 #: A noncharacter: no text of any language holds it, and words that do are encoded one by one.
 _MARK = "\ufdd0"
 
 
+#: Documents in one Arrow batch between the JVM and Python. Texts are long, so Spark's default of 10,000 takes much memory.
+BATCH_DOCS = 1000
+
+
+def small_batches(df):
+    """`df`, after lowering the session's Arrow batches to BATCH_DOCS rows where they are larger."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_DOCS:
+        conf.set(name, BATCH_DOCS)
+    return df
+
+
+_holder = ""
+
+
+def hold(owner: str) -> None:
+    """Called where a task begins. A worker serves one operator after another: the caches of the one before go."""
+    global _holder
+    if owner != _holder:
+        _holder = owner
+        word_encoder.cache_clear()
+        if (other := sys.modules.get("kinweave.llm.bytebpe")) is not None:
+            other.byte_bpe.cache_clear()
+        trim()
+
+
+def trim() -> None:
+    """Called where a task ends: freed memory goes back to the system, where the C library offers that."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def vocabulary_path(name: str) -> str:
     """The file of a public tokenizer on this machine."""
     import public_tokenizers

@@ -1,0 +1,291 @@
+"""Each operator on nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; and against brute force."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+SF = "/root/testdata/sf0.001"
+ODD = "doc_id long, text string, lang string, source string, n_chars long, `slot.x` int, h long, sig string"
+LONG = "word " * 30_000 + "x" * 60_000
+ROWS = [(1, None, None, None, None), (2, "", "en", "a", 0), (3, "one two", "en", "a", 7), (3, "one two", "en", "a", 7), (None, "one two", None, "a", 7), (4, LONG, "de", "b", 9), (5, "## ??", "fr", None, 5), (6, "日本語 テキスト é", "ja", "c", 3)]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame([(*r, i, i, "s") for i, r in enumerate(ROWS)], ODD)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def texts(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.select("doc_id", "text").collect()]
+
+
+def test_shards(spark, odd, docs):
+    from kinweave.llm.sharding import communication_matrix, hypergeometric, shuffle_into_shards
+
+    for df, shards in ((odd, 3), (docs, 40), (odd.limit(0), 4)):
+        got = shuffle_into_shards(df, shards).toPandas()
+        assert len(got) == df.count() and set(df.columns) < set(got.columns)
+        sizes = [sorted(g["slot"]) for _, g in got.groupby("shard")]
+        assert all(s == list(range(len(s))) for s in sizes)
+        if len(got):
+            assert max(map(len, sizes)) - (min(map(len, sizes)) if len(sizes) == shards else 0) <= 1
+    a, b = (shuffle_into_shards(docs.select("doc_id"), 5).orderBy("doc_id").collect() for _ in range(2))
+    assert a == b
+    with pytest.raises(ValueError):
+        shuffle_into_shards(odd.withColumn("slot", F.lit(1)), 2)
+    m = communication_matrix([5, 0, 7], [4, 4, 4], 1)
+    assert m.sum(axis=1).tolist() == [5, 0, 7] and m.sum(axis=0).tolist() == [4, 4, 4]
+    rng = np.random.default_rng(1)
+    big = [hypergeometric(rng, 10**9, 3 * 10**9, 10**6) for _ in range(200)]
+    assert abs(np.mean(big) - 250_000) < 5 * 433 / 200**0.5 and 250 < np.std(big) < 650
+
+
+def test_chunk_store(spark, odd, docs):
+    from kinweave.llm.chunkstore import cuts, merkle_root, name_of, new_store_path, read_store, write_store
+    from kinweave.llm.tokens import vocabulary_path, word_encoder
+
+    tok = word_encoder(vocabulary_path("word_bpe_49k.json")).tokenizer
+    for df in (docs, odd, odd.limit(0)):
+        path = new_store_path(spark, "test")
+        write_store(df, path)
+        got = read_store(spark, path).collect()
+        want = Counter((i, zlib.crc32(np.array(tok.encode(t, add_special_tokens=False).ids + [1], "<u4").tobytes())) for i, t in texts(df))
+        assert Counter((r["doc_id"], r["ids_crc32"]) for r in got) == want
+        ordered = sorted(got, key=lambda r: r["start"])
+        assert [r["start"] for r in ordered] == [0, *np.cumsum([r["n_tokens"] for r in ordered])[:-1].tolist()][: len(ordered)]
+        assert [r["doc_id"] for r in ordered if r["doc_id"] is not None] == sorted(r["doc_id"] for r in ordered if r["doc_id"] is not None)
+        names = [bytes(r["name"]) for r in spark.read.parquet(f"{path}/chunks").collect()]
+        assert len(names) == len(set(names))
+        assert sum(r["documents"] for r in spark.read.parquet(f"{path}/manifest").collect()) == df.count()
+    rng = np.random.default_rng(1)
+    shared = rng.integers(0, 9999, 5000)
+    a, b = (np.concatenate([rng.integers(0, 9999, n), shared]) for n in (700, 1300))
+    chunks = [{x[i:j].tobytes() for i, j in zip([0, *cuts(x)], cuts(x))} for x in (a, b)]
+    assert len(chunks[0] & chunks[1]) > 3 and all(j - i <= 2048 for i, j in zip([0, *cuts(a)], cuts(a))) and cuts(np.zeros(9000, int))[-1] == 9000
+    assert merkle_root([b"a"]) == b"a" and merkle_root([b"a", b"b"]) == name_of(b"ab")
+
+
+def test_store_damage_is_found(spark, docs, tmp_path):
+    from kinweave.llm.chunkstore import read_store, write_store
+
+    path = f"file://{tmp_path}/store"
+    write_store(docs.limit(20), path)
+    chunks = spark.read.parquet(f"{path}/chunks")
+    chunks.withColumn("ids", F.when(F.col("at") == 0, F.unhex(F.lit("0102"))).otherwise(F.col("ids"))).write.parquet(f"{path}/bad")
+    spark.read.parquet(f"{path}/bad").write.mode("overwrite").parquet(f"{path}/chunks")
+    with pytest.raises(Exception, match="damaged"):
+        read_store(spark, path).collect()
+
+
+def grams(text):
+    import re
+
+    w = re.findall(r"(?:[a-z0-9_]|[^\x00-\x7f])+", text.lower())
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else {("", text)}
+
+
+def classes(rows):
+    sets, parent = [grams(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    out = defaultdict(list)
+    for i, (d, _) in enumerate(rows):
+        out[find(i)].append(d)
+    return Counter(tuple(sorted(v, key=str)) for v in out.values())
+
+
+def test_near_duplicates(spark, odd, docs):
+    from kinweave.llm.dartminhash import drop_near_duplicates, near_duplicates, signatures
+
+    base = [f"w{i}" for i in range(100)]
+    cloud = [(1000 + k, " ".join(base[:k] + [f"n{k}"] + base[k + 1 :])) for k in range(0, 100, 3)] + [(2000, " ".join(base))]
+    # far copies whose only near neighbour is not the centre of the cloud
+    far = [" ".join(base[:30] + [f"f{i}" for i in range(k)] + base[30 + k :]) for k in (3, 7, 9, 11, 13, 15, 30)]
+    made = spark.createDataFrame(cloud + [(3000 + i, t) for i, t in enumerate(far)], "doc_id long, text string")
+    for df in (docs.select("doc_id", "text"), made, odd.select("doc_id", "text"), odd.select("doc_id", "text").limit(0)):
+        got, found = near_duplicates(df).collect(), defaultdict(list)
+        want = classes(texts(df))
+        for r in got:
+            found[r["class_id"], r["class_size"]].append(r["doc_id"])
+        assert Counter(tuple(sorted(v, key=str)) for v in found.values()) == want
+    kept = drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and kept.select("doc_id").distinct().count() == 5
+    e = [np.array(x, np.uint64) for x in ([1, 2, 3, 4], [1, 2, 3, 4, 5])]
+    sig = signatures(e, [np.array([1.0, 2, 0.5, 7]), np.array([2.0, 1, 0.5, 3, 9])], 8000)
+    assert (sig[0] == sig[1]).mean() == pytest.approx(5.5 / 20.5, abs=0.03)
+    few, many = signatures([np.arange(1, 3, dtype=np.uint64), np.arange(1, 5000, dtype=np.uint64)], k=96)
+    assert len(set(few.tolist())) > 1 and len(set(many.tolist())) > 90
+
+
+def test_surrogates(spark, odd, docs):
+    from kinweave.llm import surrogates as S
+
+    c = S.Cipher(b"k")
+    assert sorted(c.number(i, 1000, "x") for i in range(1000)) == list(range(1000))
+    text = "Frau Anna Müller and MR JONES, JSmith@Foo.co.uk, (415) 555-0199, +1 415 555 0199, DE89 3704 0044 0532 0130 00, 4111 1111 1111 1111, 123-45-6789, 10.0.0.1, token = \"0123456789abcdef\""
+    new, counts = S.replace_entities(text, c, {})
+    for gone in ("Müller", "JONES", "Foo", "555", "3704", "4111 1111 1111", "123-45", "10.0.0.1", "0123456789abcdef"):
+        assert gone not in new
+    assert counts == {"name": 2, "email": 1, "phone": 2, "iban": 1, "account": 1, "ssn": 1, "ip": 1, "secret": 1}
+    found = {k: [new[a:b] for a, b, kind, _ in S.find_entities(new) if kind == k] for k in counts}
+    assert S.luhn(found["account"][0].replace(" ", "")[:-1]) == int(found["account"][0][-1])
+    assert "".join(filter(str.isdigit, found["phone"][0])) == "".join(filter(str.isdigit, found["phone"][1]))[1:]
+    assert found["name"][1].isupper() and found["name"][0].split()[0] in S.NAMES["latin", "f"]
+    same = "Nothing to see: 12.5 of 1.2.3, v1.2.3.4.5, 2024-01-02, a@b and The Of."
+    assert S.replace_entities(same, c, {}) == (same, {})
+    many = spark.createDataFrame([(i, f"mail user{i}@x.org or 10.0.{i}.7, Mr Smith{chr(97 + i % 26)} {chr(97 + i // 26)}") for i in range(200)], "doc_id long, text string")
+    for limit in (S.MAX_BROADCAST, 0):
+        rows = S.replace_personal_data(many, max_broadcast=limit).orderBy("doc_id").collect()
+        cores = {(k, S.core_of(k, r["text"][a:b], g)) for r in rows for a, b, k, g in S.find_entities(r["text"])}
+        real = {(k, S.core_of(k, t[a:b], g)) for _, t in texts(many) for a, b, k, g in S.find_entities(t)}
+        assert not cores & real and len(cores) == len(real)
+    out = S.replace_personal_data(odd).collect()
+    assert sorted((r["text"] or "null") for r in out) == sorted((r["text"] or "null") for r in odd.collect())
+    assert S.replace_personal_data(odd.limit(0)).count() == 0
+
+
+def test_nearest(spark):
+    from kinweave.llm.dimscan import nearest
+
+    df = spark.read.parquet(f"{SF}/embeddings.parquet")
+    v = df.toPandas()
+    x, ids = np.stack(v["embedding"].to_numpy()).astype(float), v["vec_id"].to_numpy()
+    got = nearest(df, F.col("vec_id") % 5 == 0).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        d = np.sqrt(((x - x[ids == q][0]) ** 2).sum(axis=1))
+        best = [i for i in np.lexsort((ids, d)) if ids[i] != q][:10]
+        hits += len(set(ids[best]) & set(g["vec_id"]))
+        g = g.sort_values("rank")
+        assert g["rank"].tolist() == list(range(1, 11)) and np.allclose(g["score"], [d[ids == i][0] for i in g["vec_id"]], rtol=1e-12) and (np.diff(g["score"]) >= 0).all()
+    assert hits >= 0.9 * len(got)
+    odd = spark.createDataFrame([(0, [1.0, 0.0], 1), (100, [1.0, 0.0], 1), (1, [1.0, 0.0], 2), (2, None, 2), (3, [0.0, 0.0], 0), (4, [1.0, None], 0), (5, [1.0, float("nan")], 0), (6, [1.0], 0), (7, [0.0, 2.0], 0)], "vec_id long, embedding array<double>, rank int")
+    rows = [tuple(r)[:3] for r in nearest(odd, F.col("vec_id") % 100 == 0).orderBy("query_id", "rank").collect()]
+    assert rows == [(0, 1, 1), (0, 2, 100), (0, 3, 7), (100, 1, 0), (100, 2, 1), (100, 3, 7)]
+    assert nearest(odd.limit(0), F.lit(True)).count() == 0
+    same = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
+    hot = nearest(same, F.col("vec_id") % 1000 == 0, chunk=500, block=1).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in hot[:10]] == list(range(1, 11)) and len(hot) == 30
+
+
+def test_packing(spark, odd, docs):
+    from kinweave.llm.packing import BestFit, pack
+    from kinweave.llm.tokens import vocabulary_path, word_encoder
+
+    tok = word_encoder(vocabulary_path("word_bpe_49k.json")).tokenizer
+    for df in (docs, odd, odd.limit(0)):
+        got = pack(df).toPandas()
+        want = Counter()
+        for i, t in texts(df):
+            ids = np.array(tok.encode(t, add_special_tokens=False).ids + [0], "<u4")
+            for k, a in enumerate(range(0, len(ids), 2048)):
+                want[str(i), k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())] += 1
+        assert Counter((str(i if i == i and i is not None else None).removesuffix(".0"), p, s, n, c) for i, p, s, n, c in zip(got["doc_id"].astype(object), got["piece"], got["start"], got["length"], got["ids_crc32"])) == want
+        for _, g in got.sort_values("offset").groupby("sequence_id"):
+            assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 2048
+        if df is docs:
+            assert got["sequence_id"].nunique() <= 1.05 * -(-got["length"].sum() // 2048) + 1
+    b = BestFit(10, 2)
+    assert [b.place(n) for n in (6, 5, 4, 9, 5)] == [(0, 0), (1, 0), (0, 6), (2, 0), (1, 5)]
+    with pytest.raises(ValueError):
+        b.place(11)
+
+
+def test_exact_dedup(spark, odd, docs):
+    from kinweave.llm.bloomdedup import dedup_report, exact_dedup
+
+    for df, bits in ((docs, 1 << 30), (docs, 1 << 15), (odd, 1 << 30), (odd.limit(0), 1 << 30)):
+        groups = defaultdict(list)
+        for i, t in texts(df):
+            groups[t].append(i)
+        got = dedup_report(df, max_bits=bits).collect()
+        assert len(got) == df.count() and sum(r["kept"] for r in got) == len(groups)
+        best = {hashlib.sha256(t.encode()).hexdigest(): (max((i for i in v if i is not None), default=None), len(v)) for t, v in groups.items()}
+        assert all((r["keep_id"], r["group_size"]) == best[r["text_sha256"]] for r in got)
+        kept = exact_dedup(df, max_bits=bits)
+        assert kept.columns == df.columns and sorted(r["text"] or "" for r in kept.collect()) == sorted(groups)
+
+
+def test_token_counts(spark, odd, docs):
+    import public_tokenizers
+    import tiktoken
+
+    from kinweave.llm.sepscan import roster, scan_separators, write_flat
+    from kinweave.llm.tokens import byte_ranks, vocabulary_path
+
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_ranks(vocabulary_path("byte_bpe_50k.tiktoken")), special_tokens={})
+    for df in (docs, odd, odd.limit(0)):
+        flat = write_flat(df, 50256, block=1000).cache()
+        got = scan_separators(flat, 50256).join(roster(flat), ["file", "nth"]).collect()
+        assert Counter((r["doc_id"], r["n_tokens"]) for r in got) == Counter((i, len(enc.encode_ordinary(t))) for i, t in texts(df))
+    pack = lambda *x: np.array(x, "<u2").tobytes()
+    flat = spark.createDataFrame([(0, 0, pack(5, 9, 5, 5)), (0, 1, b""), (0, 2, pack(5, 5)), (0, 3, pack(9, 9, 3)), (1, 0, None), (2, 0, pack(9))], "file int, block int, ids binary")
+    assert [tuple(r) for r in scan_separators(flat, 9).orderBy("file", "nth").collect()] == [(0, 0, 0, 1, True), (0, 1, 2, 4, True), (0, 2, 7, 0, True), (0, 3, 8, 1, False), (2, 0, 0, 0, True)]
+
+
+def test_language_id(spark, odd, docs):
+    from kinweave.llm.langid import held_out, predict, train
+
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = train(big.where(~held_out()))
+    got = predict(big.withColumn("held", held_out()), model).where("held").toPandas()
+    assert (got["lang"] == got["lang_pred"]).mean() > 0.97 and got["score"].between(0, 1).all()
+    rows = {r["slot.x"]: (r["lang_pred"], r["score"]) for r in predict(odd, model).collect()}
+    assert rows[0] == rows[1] == rows[6] == ("und", 0.0) and rows[7][0] in model[0] and len(rows) == len(ROWS)
+    assert predict(odd.limit(0), model).count() == 0
+    none = train(odd.limit(0))
+    assert {r["lang_pred"] for r in predict(odd, none).collect()} == {"und"}
+
+
+def test_byte_bpe(spark, odd, docs):
+    import public_tokenizers
+    import tiktoken
+
+    from kinweave.llm.bytebpe import encode_decode
+    from kinweave.llm.tokens import vocabulary_path
+
+    path = vocabulary_path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    hard = spark.createDataFrame([(1, "a" * 5000), (2, "abcabc" * 900), (3, "😀é" * 40 + " \n\n  x")], "doc_id long, text string")
+    for df in (docs, odd, hard, odd.limit(0)):
+        want = Counter()
+        for i, t in texts(df):
+            ids = enc.encode_ordinary(t)
+            want[i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
+        assert Counter(tuple(r)[:4] for r in encode_decode(df, with_ids=True).collect()) == want
+
+
+def test_pipeline(spark, odd, docs):
+    import corpus_pipeline as P
+
+    rows = docs
+    for name, f in P.STAGES[:-1]:
+        before, rows = rows, f(spark, rows, SF).cache()
+        assert rows.columns == docs.columns and 0 < rows.count() <= before.count(), name
+    assert {r["doc_id"] for r in P.run(spark, SF).collect()} == {r["doc_id"] for r in rows.collect()}
+    assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "near_dedup", "surrogates", "best_fit_packing"]
+    for df in (odd, odd.limit(0)):
+        for _, f in P.STAGES:
+            df = f(spark, df, SF)
+        df.count()
