@@ -14,7 +14,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Distinct words that a worker remembers.
-CACHED_WORDS = 250_000
+CACHED_WORDS = 350_000
 #: Characters that are worked on at once.
 SLICE_CHARS = 2_000_000
 #: A noncharacter: no text of any language holds it, and words that do are encoded one by one.
