@@ -104,6 +104,11 @@ _OTHER = re.compile("[^\x00-\x1b\x20-\u024f]")
 _RUN = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
 
 
+#: Words of these alone (lower-case Latin letters, ASCII digits and marks) are taken apart here as the pre-tokenizer does.
+_PLAIN = re.compile("[!-@\\[-~\u00df-\u00f6\u00f8-\u00ff]+")
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[!-/:-@\\[-`{-~]+")
+
+
 def _words(text: str) -> list[str]:
     """Parts of a text that a lower-casing, space-dropping pre-tokenizer takes apart as well."""
     latin = not any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) if text.isascii() else _OTHER.search(text) is None
@@ -124,31 +129,55 @@ class WordEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.simple = Tokenizer(self.tokenizer.model)
-        self.simple.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit(" "), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.tokenizer.encode_special_tokens = True
         self.memory = Memory()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        # bytes that no character shows become characters from 256 on, in order
+        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        self.byte_level = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(shown)))}
+        probe = "ab12.-c's_\u00e9d'"
+        pieces = [p.encode().decode("latin-1").translate(self.byte_level) for p in _PIECES.findall(probe)]
+        self.plain = pieces == [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(probe)]
         self.mark = np.array(self.tokenizer.encode(_MARK, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, words: list[str]) -> None:
         """Encode new words, many in one call."""
         if not self.ends.any():
             return self._learn_marked(words)
-        letters = [w for w in words if w.isalpha()]
-        # nothing is left to normalise or take apart in lower-case ASCII letters
-        self._learn_letters([w for w in letters if w.isascii() and w.islower()], self.simple)
-        self._learn_letters([w for w in letters if not (w.isascii() and w.islower())], self.tokenizer)
-        self._learn_marked([w for w in words if not w.isalpha()])
-
-    def _learn_letters(self, words: list[str], tokenizer) -> None:
+        known = self.memory.known
+        plain, apart, rest = [], {}, []
+        for w in words:
+            if not self.plain or not _PLAIN.fullmatch(w):
+                rest.append(w)
+            elif w.isalpha():
+                plain.append(w)
+            else:
+                apart[w] = _PIECES.findall(w)
+        # letters, digits and marks that a word is made of: often known, and nothing is left to normalise in them
+        parts = set().union(*apart.values()).difference(known, plain)
+        self._learn_pieces(plain + list(parts))
+        self.memory.brief += [p for p in parts.difference(apart) if len(p) > self.memory.longest]
+        for w, pieces in apart.items():
+            known[w] = b"".join([known[p] for p in pieces])
+        self._learn_letters([w for w in rest if w.isalpha()])
+        self._learn_marked([w for w in rest if not w.isalpha()])
+
+    def _learn_pieces(self, pieces: list[str]) -> None:
+        """Lower-case pieces as the pre-tokenizer would leave them: by the model alone."""
+        ids, ends, tokens = [], [], self.tokenizer.model.tokenize
+        for p in pieces:
+            ids += [t.id for t in tokens(p if p.isascii() else p.encode().decode("latin-1").translate(self.byte_level))]
+            ends.append(4 * len(ids))
+        self._keep(pieces, np.array(ids, dtype="<u4").tobytes(), [0, *ends], ends)
+
+    def _learn_letters(self, words: list[str]) -> None:
         """Words of letters only are one piece each, and the last id of a piece ends a word."""
-        for part, e in self._encode_joined(words, " ", tokenizer):
+        for part, e in self._encode_joined(words, " "):
             ids = np.array(e.ids, dtype="<u4")
             at = np.flatnonzero(self.ends[ids]) + 1
             if len(at) == len(part) and at[-1] == len(ids):
@@ -162,7 +191,7 @@ class WordEncoder:
         for w in alone:
             self.memory.known[w] = np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, dtype="<u4").tobytes()
         k = len(self.mark)
-        for part, e in self._encode_joined([w for w in words if _MARK not in w] if alone else words, f" {_MARK} ", self.tokenizer):
+        for part, e in self._encode_joined([w for w in words if _MARK not in w] if alone else words, f" {_MARK} "):
             ids = np.array(e.ids, dtype="<u4")
             n = len(ids) - k + 1
             at = np.flatnonzero(np.logical_and.reduce([ids[i : n + i] == m for i, m in enumerate(self.mark)])) if n > 0 else np.zeros(0, int)
@@ -170,9 +199,9 @@ class WordEncoder:
                 raise ValueError("the vocabulary joins what white space separates")
             self._keep(part, ids.tobytes(), [0, *((at + k) * 4).tolist()], [*(at * 4).tolist(), 4 * len(ids)])
 
-    def _encode_joined(self, words: list[str], between: str, tokenizer) -> Iterator[tuple[list[str], object]]:
+    def _encode_joined(self, words: list[str], between: str) -> Iterator[tuple[list[str], object]]:
         parts = [words[i : i + 2000] for i in range(0, len(words), 2000)]
-        yield from zip(parts, tokenizer.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False))
+        yield from zip(parts, self.tokenizer.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False))
 
     def _keep(self, words: list[str], raw: bytes, begins: list[int], ends: list[int]) -> None:
         for w, a, b in zip(words, begins, ends):

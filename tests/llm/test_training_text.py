@@ -289,3 +289,16 @@ def test_pipeline(spark, odd, docs):
         for _, f in P.STAGES:
             df = f(spark, df, SF)
         df.count()
+
+
+def test_words_with_marks_and_digits():
+    """Words that are taken apart before they are encoded: as the tokenizers library encodes the whole text."""
+    from kinweave.llm.tokens import vocabulary_path, word_encoder
+
+    encoder, rng = word_encoder(vocabulary_path("word_bpe_49k.json")), np.random.default_rng(5)
+    alphabet = np.array(list("abcdstremvlXZ'''019.,,#$%&*_-@/:<>|!?\"()[]{}~`^\\+=;\n\t  éßñÀİŉǅ×÷ª² \u0085̇Σςя日﷐"))
+    texts = ["", "word.###", "don't'll", "a1" * 5000, "x" * 6000 + ".###", "<|endoftext|>", *("".join(rng.choice(alphabet, n)) for n in rng.integers(1, 60, 5000))]
+    wanted = [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    for at in range(0, len(texts), 1000):  # later slices meet known words
+        assert encoder.encode(texts[at : at + 1000]) == wanted[at : at + 1000]
+    assert not any(len(w) > encoder.memory.longest for w in encoder.memory.known)
