@@ -351,7 +351,8 @@ def replace_personal_data(docs: DataFrame, key: bytes = b"kinweave", text: str =
     if n <= max_broadcast:
         shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["core"]): r["attempt"] for r in odd.collect()})
         return docs.toDF(*own_names).mapInArrow(rewrite(shared), schema).toDF(*names, "replaced")
-    per_text = found.join(odd, ["kind", "core"]).groupBy("text_hash").agg(F.collect_list(F.struct("kind", "core", "attempt")).alias("_kw_odd"))
+    # equal texts bring equal rows: each entity of a text once, however many copies the text has
+    per_text = found.distinct().join(odd, ["kind", "core"]).groupBy("text_hash").agg(F.collect_list(F.struct("kind", "core", "attempt")).alias("_kw_odd"))
     per_text, _ = stage(per_text, "per-text")
     bits = filter_bits(per_text.count())
     pieces, _ = stage(bit_filter(per_text.select(position(F.col("text_hash"), bits).alias("pos")), bits), "filter")

@@ -164,6 +164,26 @@ def test_surrogates(spark, odd, docs):
     assert S.replace_personal_data(odd.limit(0)).count() == 0
 
 
+def test_exceptions_of_repeated_texts(spark, monkeypatch):
+    """Copies of one text bring its exceptional entities once into the join path."""
+    from kinweave.llm import surrogates as S
+
+    longest, plain = [], S.stage
+
+    def watched(df, name):
+        out = plain(df, name)
+        if name == "per-text":
+            longest.append(out[0].agg(F.max(F.size("_kw_odd"))).head()[0])
+        return out
+
+    monkeypatch.setattr(S, "stage", watched)
+    people = ", ".join(f"Mr {a}{b} Smith" for a in "ABCDEFGH" for b in ("ob", "al", "en", "im", "ud"))
+    docs = spark.createDataFrame([(i, people if i < 300 else f"{people}, {i}") for i in range(310)], "doc_id long, text string")
+    joined, broadcast = (S.replace_personal_data(docs, max_broadcast=n).select("doc_id", "text").orderBy("doc_id").collect() for n in (0, S.MAX_BROADCAST))
+    assert joined == broadcast and len({r["text"] for r in joined[:300]}) == 1
+    assert 0 < longest[0] <= 40
+
+
 def test_nearest(spark):
     from kinweave.llm.dimscan import nearest
 
