@@ -5,13 +5,16 @@ secrets given as key = value, and names after a form of address or an introducti
 (digits of a number, lower-case form of an address or name), so that all mentions of one entity get one surrogate in
 all documents. The core is enciphered by a keyed permutation of all strings of its format: digits become digits (the
 first of a number keeps its kind), letters become letters of the same case and script, check digits are made valid
-again where they were. Names are drawn from lists that match the gender of the form of address and the script; names
-beyond the lists or in other scripts are enciphered letter by letter. A mention gets the punctuation and the case of
-the original.
+again where they were. Names are made word by word: the given name is drawn from a list that matches the gender of the
+form of address and the script, every other word is a surname put together from syllables of the script, the same one
+wherever the word stands ('Mr Smith', 'Dr John Smith'). Names in scripts other than Latin and Cyrillic are enciphered
+letter by letter. A mention gets the punctuation and the case of the original.
 
 Collision checks. The distinct entities of the corpus, a small table, are given surrogates and compared with each
 other and with all real entities. An entity whose surrogate is taken or real is enciphered once more, until none is
-left. Only these exceptions travel: as a broadcast if there are at most MAX_BROADCAST of them, otherwise by a join
+left. Names are checked in two parts: no two surname words of the corpus get one surrogate, and none gets a real
+surname; no two full names that end alike get one given name. Each further attempt draws from a larger space, a
+surname with one more syllable and a given name with one more part ('Anna-Maria'). Only these exceptions travel: as a broadcast if there are at most MAX_BROADCAST of them, otherwise by a join
 that only the documents concerned take part in. All other documents compute their surrogates where they are.
 
 Defined cases: a null text stays null; a text without entities is unchanged to the byte; equal rows get equal texts;
@@ -42,10 +45,13 @@ MAX_BROADCAST = 200_000
 NAMES = {
     ("latin", "f"): "Anna Maria Emma Laura Julia Clara Sofia Lucia Elena Marta Alice Camille Louise Jeanne Claire Helene Ingrid Greta Hannah Lena Carmen Pilar Rosa Teresa Isabel Susan Karen Nancy Linda Grace".split(),
     ("latin", "m"): "Paul Peter Thomas Martin Daniel David Robert Michel Pierre Louis Jean Antoine Hans Karl Jonas Felix Stefan Andreas Carlos Miguel Jorge Pablo Diego Luis James George Henry Frank Walter Simon".split(),
-    ("latin", "s"): "Abbott Baker Carter Dawson Ellis Foster Grant Harper Jensen Keller Lambert Mercier Navarro Ortega Palmer Quinn Richter Schuster Torres Ulrich Vidal Weber Young Zimmer Berger Costa Duval Engel Ferrer Girard".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Ирина Татьяна Наталья Светлана Вера Дарья".split(),
     ("cyrillic", "m"): "Иван Пётр Сергей Алексей Дмитрий Николай Андрей Михаил Павел Юрий".split(),
-    ("cyrillic", "s"): "Иваненко Петренко Бондарь Коваль Шевчук Мельник Ткач Гончар Лысенко Кравец".split(),
+}
+#: Parts of surnames: how a syllable begins, its vowel, how the name ends. Three syllables give 233 and 50 million surnames.
+SYLLABLES = {
+    "latin": ("b br d dr f fl g gr h j k kl kr l m n p pr r s sh st t tr v w z sp gl bl".split(), "a e i o u ei".split(), "mann sen ler ner ton son feld berg stein well ford mer ker vin lin rat nard bert mond dal lund quist gren holm wick more land ham low ster ley by nez rez let rand sier din ron cott".split()),
+    "cyrillic": ("б бр в г гр д др ж з к кл кр л м н п пр р с ст т тр х ш".split(), "а е и о у".split(), "нко вский ров лев нин тов дин мук чук вич гин хин рев рин зов ков лин сов мов бин хов шин нюк ман тюк лык рец нец".split()),
 }
 ADDRESS = {
     "m": "Mr Mister Sir Herr Herrn Monsieur M Señor Sr Don господин".split(),
@@ -202,9 +208,6 @@ def surrogate(cipher: Cipher, kind: str, core: str) -> str:
         country, rest = core[:2], core[4:]
         rest2 = cipher.text(rest, kind + country, [_class(c) for c in rest])
         return country + (_iban_check(country, rest2) if _iban_check(country, rest) == core[2:4] else core[2:4]) + rest2
-    if kind == "name":
-        gender, words = core.split("|", 1)
-        return f"{gender}|" + " ".join(_name_word(cipher, w, gender if i == 0 and " " in words else "s") for i, w in enumerate(words.split(" ")))
     hexed = re.fullmatch(r"(?:0x)?([0-9a-f]{8,}|[0-9A-F]{8,})", core)
     if hexed:
         digits = "0123456789abcdef" if hexed[1] == hexed[1].lower() else "0123456789ABCDEF"
@@ -213,27 +216,65 @@ def surrogate(cipher: Cipher, kind: str, core: str) -> str:
     return cipher.text(core, kind, [_class(c) for c in core])
 
 
-def _name_word(cipher: Cipher, word: str, role: str) -> str:
-    """A name from the list of its script and role; a name of the lists is permuted among them, others are enciphered."""
-    script = "cyrillic" if "а" <= word[0] <= "я" or word[0] == "ё" else "latin" if word[0] < "ɐ" else ""
-    names = [n.casefold() for n in NAMES.get((script, role if role != "n" else "f"), ())]
-    if role == "n" and script:
-        names += [n.casefold() for n in NAMES[script, "m"]]
-    if names:
-        # a prefix from the list, told apart by a second part where the list is too short
-        mapped = cipher.text(word, f"name|{role}", [_class(c) for c in word])
-        pick = int.from_bytes(hashlib.blake2b(mapped.encode(), key=cipher.key, digest_size=8).digest(), "big")
-        return names[pick % len(names)]
-    return cipher.text(word, f"name|{role}", [_class(c) for c in word])
+def _script(word: str) -> str:
+    return "cyrillic" if "а" <= word[0] <= "я" or word[0] == "ё" else "latin" if word[0] < "ɐ" else ""
+
+
+def _draw(cipher: Cipher, *what) -> int:
+    """A keyed number of 256 bits."""
+    return int.from_bytes(hashlib.blake2b("|".join(map(str, what)).encode(), key=cipher.key, digest_size=32).digest(), "big")
+
+
+def _enciphered(cipher: Cipher, word: str, role: str, attempt: int) -> str:
+    for _ in range(attempt + 1):
+        word = cipher.text(word, f"name|{role}", [_class(c) for c in word])
+    return word
+
+
+def surname(cipher: Cipher, word: str, attempt: int) -> str:
+    """The surname that stands for a word: each attempt draws from a space of names one syllable longer."""
+    script = _script(word)
+    if not script:
+        return _enciphered(cipher, word, "s", attempt)
+    begins, vowels, ends = SYLLABLES[script]
+    out = ""
+    for k in range(3 + attempt):
+        n, i = divmod(_draw(cipher, "surname", attempt, k, word), len(begins))
+        out += begins[i] + vowels[n % len(vowels)]
+    return out + ends[_draw(cipher, "surname", attempt, "end", word) % len(ends)]
+
+
+def given_name(cipher: Cipher, word: str, gender: str, attempt: int) -> str:
+    """The given name that stands for a word: names of the gender, one more of them at each attempt."""
+    script = _script(word)
+    if not script:
+        return _enciphered(cipher, word, gender, attempt)
+    names = [n for g in (gender if gender != "n" else "fm") for n in NAMES[script, g]]
+    return "-".join(names[_draw(cipher, "given", gender, attempt, k, word) % len(names)] for k in range(attempt + 1)).casefold()
+
+
+def surnames(core: str) -> list[str]:
+    """The words of the core of a name that are replaced as surnames: all but the given name, which one word alone is not."""
+    words = core.split("|", 1)[1].split(" ")
+    return words[1:] or words
+
+
+def name_surrogate(cipher: Cipher, core: str, exceptions: dict[tuple[str, str], int]) -> str:
+    gender, words = core.split("|", 1)
+    given, rest = words.split(" ")[0], surnames(core)
+    made = [surname(cipher, w, exceptions.get(("surname", w), 0)) for w in rest]
+    if " " in words:
+        made.insert(0, given_name(cipher, given, gender, exceptions.get(("name", core), 0)))
+    return f"{gender}|" + " ".join(made)
 
 
 def nth_surrogate(cipher: Cipher, kind: str, core: str, attempt: int) -> str:
-    """After `attempt` collisions. Names leave their list at the second attempt: letters are enciphered, which never repeats."""
-    if kind == "name" and attempt > 0:
+    """After `attempt` collisions. Of a full name only the given name is replaced here: surnames are checked as words."""
+    if kind == "surname":
+        return surname(cipher, core, attempt)
+    if kind == "name":
         gender, words = core.split("|", 1)
-        for _ in range(attempt):
-            words = cipher.text(words, "letters", [_class(c) for c in words])
-        return f"{gender}|{words}"
+        return " ".join([f"{gender}|" + given_name(cipher, words.split(" ")[0], gender, attempt), *surnames(core)])
     for _ in range(attempt + 1):
         core = surrogate(cipher, kind, core)
     return core
@@ -250,7 +291,7 @@ def written_like(kind: str, core: str, mention: str) -> str:
         return "".join(c if c == " " else next(supply) for c in mention)
     if kind == "name":
         core = core.split("|", 1)[1]
-        return core.upper() if mention.isupper() and len(mention) > 1 else " ".join(w[:1].upper() + w[1:] for w in core.split(" "))
+        return core.upper() if mention.isupper() and len(mention) > 1 else re.sub(r"(?<![^ -]).", lambda m: m[0].upper(), core)
     if kind in ("email", "ipv6") and mention != mention.lower():
         return "".join(c.upper() if m.isupper() else c for c, m in zip(core, mention)) if len(core) == len(mention) else core
     return core
@@ -265,12 +306,20 @@ def replace_entities(text: str, cipher: Cipher, exceptions: dict[tuple[str, str]
     for a, b, kind, gender in found:
         mention = text[a:b]
         core = core_of(kind, mention, gender)
-        out += [text[at:a], written_like(kind, nth_surrogate(cipher, kind, core, exceptions.get((kind, core), 0)), mention)]
+        made = name_surrogate(cipher, core, exceptions) if kind == "name" else nth_surrogate(cipher, kind, core, exceptions.get((kind, core), 0))
+        out += [text[at:a], written_like(kind, made, mention)]
         counts[kind] = counts.get(kind, 0) + 1
         at = b
     return "".join([*out, text[at:]]), counts
 
 
+def checked(kind: str, core: str) -> list[tuple[str, str]]:
+    """What the collision checks see of an entity: of a name its surnames, and the whole if it has a given name."""
+    if kind != "name":
+        return [(kind, core)]
+    return [("surname", w) for w in surnames(core)] + ([(kind, core)] if " " in core.split("|", 1)[1] else [])
+
+
 def entities(texts: DataFrame) -> DataFrame:
     """text_hash, kind, core of the entities of each text (columns text_hash, text), each once a text."""
 
@@ -278,7 +327,7 @@ def entities(texts: DataFrame) -> DataFrame:
         for batch in batches:
             out: list[list] = [[], [], []]
             for h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for kind, core in {(kind, core_of(kind, t[a:b], g)) for a, b, kind, g in find_entities(t or "")}:
+                for kind, core in {x for a, b, kind, g in find_entities(t or "") for x in checked(kind, core_of(kind, t[a:b], g))}:
                     for column, v in zip(out, (h, kind, core)):
                         column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())], ["text_hash", "kind", "core"])

@@ -164,6 +164,28 @@ def test_surrogates(spark, odd, docs):
     assert S.replace_personal_data(odd.limit(0)).count() == 0
 
 
+def test_many_names(spark):
+    """More names than the lists hold: given names of the gender, one surname a word, no random letters."""
+    from kinweave.llm import surrogates as S
+
+    words = [a + b + c for a in ("Ka", "Lo", "Mi", "Ne") for b in ("bar", "den", "fil", "gos") for c in ("t", "k", "ra", "lo", "mund")]
+    texts_ = [f"{form} {w} and {form} {g} {w}" for w in words for g in words[:12] for form in ("Mr", "Mrs")] + ["господин Иванов и господин Сергей Иванов"]
+    many = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    given = {(s, g): {n for n in v} for (s, g), v in S.NAMES.items()}
+    for limit in (S.MAX_BROADCAST, 0):
+        whole, alone = defaultdict(set), defaultdict(set)
+        for r in S.replace_personal_data(many, max_broadcast=limit).select("doc_id", "text").collect():
+            (a, b, _, g), (c, d, _, _) = S.find_entities(r["text"])
+            one, (first, *last) = r["text"][a:b], r["text"][c:d].split(" ")
+            assert [one] == last, r["text"]
+            assert set(first.split("-")) <= given["cyrillic" if r["doc_id"] == len(texts_) - 1 else "latin", g], r["text"]
+            before = texts_[r["doc_id"]]
+            whole[r["text"][c:d], g].add(before.split(" ", 4)[-1] if "and" in before else before)
+            alone[one].add(before.split(" ")[1])
+        assert len(whole) == len(set(texts_)) and all(len(x) == 1 for x in whole.values())
+        assert len(alone) == len(words) + 1 and all(len(x) == 1 for x in alone.values())
+
+
 def test_exceptions_of_repeated_texts(spark, monkeypatch):
     """Copies of one text bring its exceptional entities once into the join path."""
     from kinweave.llm import surrogates as S
