@@ -269,12 +269,15 @@ def name_surrogate(cipher: Cipher, core: str, exceptions: dict[tuple[str, str],
 
 
 def nth_surrogate(cipher: Cipher, kind: str, core: str, attempt: int) -> str:
-    """After `attempt` collisions. Of a full name only the given name is replaced here: surnames are checked as words."""
+    """After `attempt` collisions. Of a full name only the given name is replaced here: surnames are checked as words.
+
+    Surnames and full names are compared as they are written, whatever the form of address before them.
+    """
     if kind == "surname":
         return surname(cipher, core, attempt)
     if kind == "name":
         gender, words = core.split("|", 1)
-        return " ".join([f"{gender}|" + given_name(cipher, words.split(" ")[0], gender, attempt), *surnames(core)])
+        return " ".join([given_name(cipher, words.split(" ")[0], gender, attempt), *surnames(core)])
     for _ in range(attempt + 1):
         core = surrogate(cipher, kind, core)
     return core

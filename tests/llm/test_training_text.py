@@ -186,6 +186,23 @@ def test_many_names(spark):
         assert len(alone) == len(words) + 1 and all(len(x) == 1 for x in alone.values())
 
 
+def test_names_with_mixed_forms_of_address(spark):
+    """Names are told apart as they are written: no two persons read alike after Mr, Mrs or Dr, and no real name comes back."""
+    from kinweave.llm import surrogates as S
+
+    words = [a + b + c for a in ("Ka", "Lo", "Mi") for b in ("bar", "den", "fil") for c in ("t", "ra", "mund")]
+    forms = ("Mr", "Mrs", "Dr")
+    texts_ = [f"{forms[i % 3]} {w}" for i, w in enumerate(words)] + [f"{forms[i % 3]} {g} {words[0]}" for i, g in enumerate(words)]
+    # names that are real here and the first surrogates of others, after another form of address
+    cipher = S.Cipher(b"kinweave")
+    texts_ += [f"{forms[(i + 1) % 3]} {S.replace_entities(f'{forms[i % 3]} {w}', cipher, {})[0].split(' ', 1)[1]}" for i, w in enumerate(words[:6])]
+    real = {t.split(" ", 1)[1] for t in texts_}
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    for limit in (S.MAX_BROADCAST, 0):
+        made = [r["text"].split(" ", 1)[1] for r in S.replace_personal_data(docs, max_broadcast=limit).collect()]
+        assert len(set(made)) == len(real) and not set(made) & real
+
+
 def test_exceptions_of_repeated_texts(spark, monkeypatch):
     """Copies of one text bring its exceptional entities once into the join path."""
     from kinweave.llm import surrogates as S
