@@ -13,13 +13,14 @@ SHARDS = 40
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in 40 shards whose row counts are at most one apart."""
+    """All documents, whole, in 40 shards whose row counts are at most one apart; a digest of the sharded rows."""
     from kinweave.llm.sharding import shuffle_into_shards
+    from kinweave.staging import stage
 
-    docs = table(spark, sf_dir, "documents")
+    # written, so that every column of a row reaches its shard and not only those of the digest
+    sharded, _ = stage(shuffle_into_shards(table(spark, sf_dir, "documents"), SHARDS), "sharded")
     utf8 = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = docs.select("doc_id", (F.octet_length(utf8) + 16).cast("bigint").alias("size"), F.crc32(utf8).alias("text_crc32"))
-    return shuffle_into_shards(rows, SHARDS).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return sharded.select("doc_id", (F.octet_length(utf8) + 16).cast("bigint").alias("size"), F.crc32(utf8).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,6 +52,22 @@ def test_shards(spark, odd, docs):
     assert abs(np.mean(big) - 250_000) < 5 * 433 / 200**0.5 and 250 < np.std(big) < 650
 
 
+def test_shards_hold_whole_documents(spark, docs, monkeypatch):
+    """The query deals whole rows, and its digest is that of the rows in the shards."""
+    from kinweave.llm import queries, sharding
+
+    given, plain = [], sharding.shuffle_into_shards
+
+    def watched(df, *a, **b):
+        given.append(df.columns)
+        return plain(df, *a, **b)
+
+    monkeypatch.setattr(sharding, "shuffle_into_shards", watched)
+    got = queries.op1_shards(spark, SF).collect()
+    assert given == [docs.columns]
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in got) == Counter((i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in texts(docs))
+
+
 def test_chunk_store(spark, odd, docs):
     from kinweave.llm.chunkstore import cuts, merkle_root, name_of, new_store_path, read_store, write_store
     from kinweave.llm.tokens import vocabulary_path, word_encoder
