@@ -39,30 +39,44 @@ def expected_f(pairs: DataFrame, misses: float = 0.0, p: str = "p") -> DataFrame
     return x.where("_best > _empty AND _k <= _stop").select(*pairs.columns)
 
 
-def expected_f_exact(pairs: DataFrame, misses: float = 0.0, depth: int = 64) -> DataFrame:
-    """The same choice by the exact law of the number of true pairs (Poisson-binomial); one s1's pairs at a time."""
+def expected_f_exact(pairs: DataFrame, misses: float = 0.0) -> DataFrame:
+    """The same choice by the exact law of the number of true pairs (Poisson-binomial); one s1's pairs at a time.
+
+    Every prefix is tried, whatever the number of pairs.
+    """
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["p", "m_id"], ascending=[False, True], ignore_index=True)
         p = pdf["p"].to_numpy(float)
-        best, best_k = float(np.prod(1 - p) * np.exp(-misses)), 0
-        for k in range(1, min(len(p), depth) + 1):
-            inside, outside = _law(p[:k]), _law(p[k:])
-            t, u = np.arange(len(inside)), np.arange(len(outside))
-            total = t[:, None] + u[None, :] + misses
-            f = np.where(t[:, None] > 0, 1.25 * t[:, None] / (k + 0.25 * np.maximum(total, 1e-12)), 0.0)
-            value = float(inside @ f @ outside)
-            if value > best:
-                best, best_k = value, k
-        return pdf.head(best_k)
+        f = prefix_f(p, misses)
+        k = int(np.argmax(f)) + 1
+        return pdf.head(k if f[k - 1] > float(np.prod(1 - p) * np.exp(-misses)) + 1e-12 else 0)
 
     return pairs.select("s1_id", "m_id", F.col("p").cast("double").alias("p")).groupBy("s1_id").applyInPandas(choose, pairs.select("s1_id", "m_id", F.col("p").cast("double")).schema)
 
 
-def _law(p: np.ndarray) -> np.ndarray:
-    out = np.ones(1)
-    for x in p:
-        out = np.convolve(out, [1 - x, x])
-    return out
+def prefix_f(p: np.ndarray, misses: float, block: int = 4096) -> np.ndarray:
+    """Expected F0.5 of each prefix of p: E[1.25 t / (k + 0.25 (t + u + misses))], t and u true pairs inside and outside of it.
+
+    With 1 / c as the integral of exp(-c x) over x > 0 this is 5 times the integral of exp(-(4 k + misses) x) W(x) A(k, x),
+    where W is the product over all pairs of 1 - p + p s, A the sum over the prefix of p s / (1 - p + p s), s = exp(-x).
+    Panels of 24 Gauss-Legendre nodes that double in width give it to rounding, in time linear in the pairs.
+    """
+    nodes, weights = np.polynomial.legendre.leggauss(24)
+    ends = [0.0, 1.0 / (5 * len(p) + misses + 1)]
+    while ends[-1] < 60:
+        ends.append(2 * ends[-1])
+    low, half = np.array(ends[:-1])[:, None], np.diff(ends)[:, None] / 2
+    x, w = (low + half * (nodes + 1)).ravel(), (half * weights).ravel()
+    s, log_all, inside, out = np.exp(-x), np.zeros(len(x)), np.zeros(len(x)), []
+    blocks = [p[i : i + block] for i in range(0, len(p), block)]
+    for q in blocks:
+        log_all += np.log(1 - q[:, None] + q[:, None] * s).sum(axis=0)
+    for i, q in enumerate(blocks):
+        a = inside + np.cumsum(q[:, None] * s / (1 - q[:, None] + q[:, None] * s), axis=0)
+        k = i * block + 1 + np.arange(len(q))
+        out.append(5 * (np.exp(log_all - (4 * k[:, None] + misses) * x) * a) @ w)
+        inside = a[-1]
+    return np.concatenate(out)
 
 
 def entity_table(pairs: DataFrame, p: str = "p") -> DataFrame:

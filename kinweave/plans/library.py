@@ -312,7 +312,7 @@ def expected_f_sets(spark, d):
 @query()
 def expected_f_exact(spark, d):
     """The same sets by the exact law, of suppliers' best pairs."""
-    return D.expected_f_exact(D.one_owner(scored_pairs(spark, d)).where("p >= 0.9"), misses=0.5)
+    return D.expected_f_exact(D.one_owner(scored_pairs(spark, d)), misses=0.5)
 
 
 @query(f"WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY p DESC, m_id) AS k FROM p) SELECT s1_id, count(*) AS n, max(p) AS p1, coalesce(max(CASE WHEN k = 2 THEN p END), 0.0) AS p2, round(sum(p), 6) AS total, round(avg(p), 6) AS mean, count(CASE WHEN p >= 0.5 THEN 1 END) AS n50, count(CASE WHEN p >= 0.9 THEN 1 END) AS n90 FROM r GROUP BY s1_id")

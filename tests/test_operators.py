@@ -85,3 +85,24 @@ def test_events_as_stream(spark, tmp_path):
     got = spark.table("w").select(F.col("window_start").cast("timestamp"), "event_type", "n")
     want = E.windowed(batch).select(F.col("window_start").cast("timestamp"), "event_type", "n")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_exact_sets_of_many_pairs(spark):
+    """Every prefix is tried: against the laws of both sides for few pairs, and beyond 64 of them."""
+    import numpy as np
+
+    def law(p):
+        out = np.ones(1)
+        for x in p:
+            out = np.convolve(out, [1 - x, x])
+        return out
+
+    rng = np.random.default_rng(3)
+    for n, misses in ((1, 0.0), (1, 0.5), (7, 0.0), (40, 0.5), (150, 2.5)):
+        p = np.sort(np.append(rng.random(n - 1), 1.0))[::-1]
+        for k, got in enumerate(D.prefix_f(p, misses, block=32), 1):
+            a, b = law(p[:k]), law(p[k:])
+            t, u = np.arange(len(a))[:, None], np.arange(len(b))[None, :]
+            assert got == pytest.approx(a @ (1.25 * t / (k + 0.25 * (t + u + misses))) @ b, rel=1e-11)
+    hot = pairs(spark, [("a", f"{i:04}", 0.97) for i in range(700)] + [("b", "x", 0.01)], "s1_id string, m_id string, p double")
+    assert {r["s1_id"]: r["count"] for r in D.expected_f_exact(hot, misses=0.5).groupBy("s1_id").count().collect()} == {"a": 700}
