@@ -43,19 +43,55 @@ def with_frequency(df: DataFrame, counts: DataFrame, keys: list[str], out: str)
 
 
 def siblings(pairs: DataFrame, similarity, anchor: float = 0.5) -> DataFrame:
-    """For each pair, how like the s1's other sure records it is: count, best, best times p. `similarity` takes two names."""
-    anchors = pairs.where(F.col("p") >= anchor).select("s1_id", F.col("m_id").alias("a_id"), F.col("name").alias("a_name"), F.col("p").alias("a_p"), F.substring("m_id", 1, 2).alias("a_src"))
-    near = pairs.select("s1_id", "m_id", "name").join(anchors, "s1_id").where("m_id <> a_id").withColumn("sim", similarity("name", "a_name"))
-    agg = near.groupBy("s1_id", "m_id").agg(F.count("*").alias("sib_n"), F.max("sim").alias("sib_best"), F.max(F.col("sim") * F.col("a_p")).alias("sib_weighted"), F.count(F.when(F.col("a_src") == F.substring("m_id", 1, 2), 1)).alias("sib_same_source"))
-    return pairs.join(agg, ["s1_id", "m_id"], "left").na.fill(0, ["sib_n", "sib_same_source"]).na.fill(-1.0, ["sib_best", "sib_weighted"])
+    """For each pair, how like the s1's other sure records it is: count, best, best times p. `similarity` takes two names and is at least 0.
+
+    Names are compared, not records: an s1's records of one name share their comparisons.
+    """
+    sure = pairs.where(F.col("p") >= anchor)
+    counts = sure.groupBy("s1_id").agg(F.count("*").alias("_n"))
+    sources = sure.groupBy("s1_id", F.substring("m_id", 1, 2).alias("_src")).agg(F.count("*").alias("_same"))
+    top = F.slice(F.sort_array(F.collect_list("p"), asc=False), 1, 2)
+    held = sure.groupBy("s1_id", F.col("name").alias("a_name")).agg(F.count("*").alias("a_n"), F.max("p").alias("a_p"), F.try_element_at(top, F.lit(2)).alias("a_p2"))
+    # null names are compared like others
+    near = pairs.select("s1_id", "name").distinct().join(held, "s1_id").withColumn("sim", similarity("name", "a_name"))
+    own = F.col("name").eqNullSafe(F.col("a_name"))
+    by_name = near.groupBy("s1_id", F.col("name").alias("_name")).agg(
+        F.max(F.when(~own, F.col("sim"))).alias("_best"), F.max(F.when(~own, F.col("sim") * F.col("a_p"))).alias("_weighted"),
+        F.max(F.when(own, F.struct("sim", "a_n", "a_p", "a_p2"))).alias("_own"),
+    )
+    x = pairs.withColumn("_self", F.coalesce(F.col("p") >= anchor, F.lit(False))).withColumn("_src", F.substring("m_id", 1, 2))
+    x = x.join(counts, "s1_id", "left").join(sources, ["s1_id", "_src"], "left")
+    x = x.join(by_name.withColumnRenamed("s1_id", "_s1"), (F.col("s1_id") == F.col("_s1")) & F.col("name").eqNullSafe(F.col("_name")), "left")
+    one = F.col("_self").cast("long")
+    others = F.col("_own.a_n") > one
+    # without itself the best p of its name is the second if it is the first
+    best_p = F.when(F.col("_self") & (F.col("p") == F.col("_own.a_p")), F.col("_own.a_p2")).otherwise(F.col("_own.a_p"))
+    return x.select(
+        *pairs.columns, (F.coalesce("_n", F.lit(0)) - one).alias("sib_n"),
+        F.coalesce(F.greatest("_best", F.when(others, F.col("_own.sim"))), F.lit(-1.0)).alias("sib_best"),
+        F.coalesce(F.greatest("_weighted", F.when(others, F.col("_own.sim") * best_p)), F.lit(-1.0)).alias("sib_weighted"),
+        (F.coalesce("_same", F.lit(0)) - one).alias("sib_same_source"),
+    )
 
 
 def peer_support(pairs: DataFrame, kernel, tau: float = 0.9) -> DataFrame:
-    """Sum of kernel times p over the other records of the s1 with p >= tau, over their number plus one."""
-    seeds = pairs.where(F.col("p") >= tau).select("s1_id", F.col("m_id").alias("k_id"), F.col("p").alias("kp"), F.col("name").alias("k_name"))
-    near = pairs.join(seeds, "s1_id").where("m_id <> k_id").withColumn("k", kernel("name", "k_name"))
-    out = near.groupBy("s1_id", "m_id").agg((F.sum(F.col("k") * F.col("kp")) / (F.count("*") + 1)).alias("support"), F.max("k").alias("support_max"), F.avg("k").alias("support_mean"), F.count(F.when(F.col("k") < 0.5, 1)).alias("contradictions"))
-    return pairs.join(out, ["s1_id", "m_id"], "left").na.fill(0)
+    """Sum of kernel times p over the other records of the s1 with p >= tau, over their number plus one; by names, as `siblings`."""
+    held = pairs.where(F.col("p") >= tau).groupBy("s1_id", F.col("name").alias("k_name")).agg(F.count("*").alias("k_n"), F.sum("p").alias("k_p"))
+    near = pairs.select("s1_id", "name").distinct().join(held, "s1_id").withColumn("k", kernel("name", "k_name"))
+    own = F.col("name").eqNullSafe(F.col("k_name"))
+    by_name = near.groupBy(F.col("s1_id").alias("_s1"), F.col("name").alias("_name")).agg(
+        F.sum("k_n").alias("_n"), F.sum(F.col("k") * F.col("k_p")).alias("_sum"), F.sum(F.col("k") * F.col("k_n")).alias("_k"), F.max(F.when(~own, F.col("k"))).alias("_max"),
+        F.sum(F.when(F.col("k") < 0.5, F.col("k_n")).otherwise(0)).alias("_against"), F.max(F.when(own, F.struct("k", "k_n"))).alias("_own"),
+    )
+    x = pairs.withColumn("_self", F.coalesce(F.col("p") >= tau, F.lit(False)).cast("long"))
+    x = x.join(by_name, (F.col("s1_id") == F.col("_s1")) & F.col("name").eqNullSafe(F.col("_name")), "left")
+    n, k = F.col("_n") - F.col("_self"), F.coalesce("_own.k", F.lit(0.0)) * F.col("_self")
+    out = x.select(
+        *pairs.columns, F.when(n > 0, (F.col("_sum") - k * F.col("p")) / (n + 1)).alias("support"),
+        F.when(n > 0, F.greatest("_max", F.when(F.col("_own.k_n") > F.col("_self"), F.col("_own.k")))).alias("support_max"), F.when(n > 0, (F.col("_k") - k) / n).alias("support_mean"),
+        F.when(n > 0, F.col("_against") - F.when(F.col("_own.k") < 0.5, F.col("_self")).otherwise(0)).alias("contradictions"),
+    )
+    return out.na.fill(0)
 
 
 def support_class(pairs: DataFrame) -> DataFrame:

@@ -146,11 +146,18 @@ def hash_id(i: str) -> int:
 
 
 def monte_carlo_f(pairs: DataFrame, misses: float, draws: int = 100, seed: int = 1) -> DataFrame:
-    """Expected F0.5 of each s1's set when each pair is true with probability p and missed pairs are Poisson."""
+    """Expected F0.5 of each s1's predicted pairs (column `predicted`) when each pair is true with probability p and missed pairs are Poisson.
+
+    Give all scored pairs: those that are not predicted are misses where they are true. An empty prediction scores 1 where nothing is true.
+    """
     def simulate(pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng([seed, hash_id(pdf["s1_id"].iloc[0])])
-        hits, lost = (rng.random((draws, len(pdf))) < pdf["p"].to_numpy(float)).sum(axis=1), rng.poisson(misses, draws)
-        f = np.where(hits > 0, 1.25 * hits / (len(pdf) + 0.25 * (hits + lost)), 0.0)
+        p, chosen, f = pdf["p"].to_numpy(float), pdf["predicted"].to_numpy(bool), np.zeros(draws)
+        n = int(chosen.sum())
+        for i in range(draws):
+            true = rng.random(len(p)) < p
+            hits, all_true = int((true & chosen).sum()), int(true.sum()) + rng.poisson(misses)
+            f[i] = float(n == 0) if all_true == 0 else 1.25 * hits / (n + 0.25 * all_true)
         return pd.DataFrame({"s1_id": [pdf["s1_id"].iloc[0]], "f05": [f.mean()]})
 
-    return pairs.select("s1_id", "p").groupBy("s1_id").applyInPandas(simulate, pairs.select("s1_id", F.lit(0.0).alias("f05")).schema)
+    return pairs.select("s1_id", "p", "predicted").groupBy("s1_id").applyInPandas(simulate, pairs.select("s1_id", F.lit(0.0).alias("f05")).schema)

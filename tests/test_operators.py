@@ -106,3 +106,37 @@ def test_exact_sets_of_many_pairs(spark):
             assert got == pytest.approx(a @ (1.25 * t / (k + 0.25 * (t + u + misses))) @ b, rel=1e-11)
     hot = pairs(spark, [("a", f"{i:04}", 0.97) for i in range(700)] + [("b", "x", 0.01)], "s1_id string, m_id string, p double")
     assert {r["s1_id"]: r["count"] for r in D.expected_f_exact(hot, misses=0.5).groupBy("s1_id").count().collect()} == {"a": 700}
+
+
+def test_evidence_of_all_pairs(spark):
+    """Siblings, peer support and simulated F0.5 by brute force, with weak pairs, repeated names and ties."""
+    import numpy as np
+
+    from kinweave.operators import context as C
+
+    rng, names = np.random.default_rng(4), ["red ring", "red bolt", "old red ring", "nut", "bolt"]
+    rows = [(f"s{i % 3}", f"{'ab'[i % 2]}{i % 4}{i}", float(rng.choice([0.05, 0.4, 0.6, 0.9, 0.95])), names[rng.integers(5)]) for i in range(60)] + [("lone", "a1", 0.95, "nut"), ("weak", "a2", 0.1, "nut"), ("weak", "a3", 0.2, "nut")]
+    sim = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
+    same = lambda a, b: F.size(F.array_intersect(F.split(a, " "), F.split(b, " "))) / F.size(F.array_union(F.split(a, " "), F.split(b, " ")))
+    df = pairs(spark, rows, "s1_id string, m_id string, p double, name string")
+    got = {(r["s1_id"], r["m_id"]): r for r in C.peer_support(C.siblings(df, same), same).collect()}
+    assert len(got) == len(rows)
+    for s, m, _, name in rows:
+        a = [(x[1], x[2], sim(name, x[3])) for x in rows if x[0] == s and x[1] != m]
+        sib, peers = [x for x in a if x[1] >= 0.5], [x for x in a if x[1] >= 0.9]
+        r = got[s, m]
+        assert (r["sib_n"], r["sib_same_source"], r["contradictions"]) == (len(sib), sum(x[0][:2] == m[:2] for x in sib), sum(x[2] < 0.5 for x in peers))
+        want = [max((x[2] for x in sib), default=-1), max((x[1] * x[2] for x in sib), default=-1), sum(x[1] * x[2] for x in peers) / (len(peers) + 1), max((x[2] for x in peers), default=0), sum(x[2] for x in peers) / max(1, len(peers))]
+        assert [r[c] for c in ("sib_best", "sib_weighted", "support", "support_max", "support_mean")] == pytest.approx(want, abs=1e-9)
+    scored = pairs(spark, [("a", "1", 1.0, True), ("a", "2", 1.0, False), ("b", "3", 1.0, True), ("c", "4", 0.0, False), ("d", "5", 0.5, True), ("d", "6", 0.5, False)], "s1_id string, m_id string, p double, predicted boolean")
+    f = {r["s1_id"]: r["f05"] for r in D.monte_carlo_f(scored, 0.0, draws=4000).collect()}
+    assert [f["a"], f["b"], f["c"]] == pytest.approx([1.25 / 1.5, 1.0, 1.0])
+    assert f["d"] == pytest.approx((1.0 + 1.25 / 1.5) / 4, abs=0.03)
+
+
+def test_evidence_queries_take_all_pairs(spark):
+    from kinweave.plans import library
+
+    sf = "/root/testdata/sf0.001"
+    assert library.sibling_support(spark, sf).count() == library.scored_pairs(spark, sf).count()
+    assert library.monte_carlo_f(spark, sf).count() == library.scored_pairs(spark, sf).select("s1_id").distinct().count()
