@@ -13,7 +13,8 @@ Only names shuffle to find repeats: a bounded bit filter of the repeated names l
 the file, and only the possible repeats are grouped by name.
 
 Reading. Chunks with a place go to it; those used in several places are joined to the recipes by name. Every document
-is put together again, its Merkle root is recomputed from the bytes read and must equal the recipe's.
+is put together again, its Merkle root is recomputed from the bytes read and must equal the recipe's. Before that the
+manifest is made again from the recipes read; a part that is missing, new or different fails.
 
 Defined cases: a null or empty text is its end id alone; equal ids and rows are kept apart by a row number; an empty
 table gives an empty store and result; further columns are not carried.
@@ -144,13 +145,17 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     within = Window.partitionBy("part").orderBy("doc_id", "root", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.join(F.broadcast(before), "part").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).select("part", "doc_id", "row", "start", "n_tokens", "names", "root")
     placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
-    done = spark.read.parquet(f"{path}/recipes").select("part", "doc_id", "root", "start", "row")
-    manifest = done.repartition("part").sortWithinPartitions("part", "start").select("part", "doc_id", "root").mapInArrow(_manifest, "part int, first_doc_id long, last_doc_id long, documents long, root binary")
-    manifest.write.parquet(f"{path}/manifest")
+    manifest_of(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
     for p in (cut_path, filter_path, ranged_path):
         drop_staged(spark, p)
 
 
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """The manifest of recipes: a row per part."""
+    ordered = recipes.select("part", "doc_id", "root", "start", "row").repartition("part").sortWithinPartitions("part", "start")
+    return ordered.select("part", "doc_id", "root").mapInArrow(_manifest, "part int, first_doc_id long, last_doc_id long, documents long, root binary")
+
+
 def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Manifest rows of all the parts that a task holds, each in order."""
     held: list[pa.RecordBatch] = []
@@ -167,9 +172,17 @@ def _manifest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_store(spark: SparkSession, path: str, width: str = "<u2") -> DataFrame:
     """A row per document, from the files alone: doc_id, start, n_tokens, ids (little-endian unsigned 32-bit), ids_crc32.
 
-    Fails if a chunk is missing or a document's Merkle root differs from its recipe.
+    Fails if a chunk is missing, a document's Merkle root differs from its recipe, or the recipes differ from the manifest.
     """
-    chunks, recipes = spark.read.parquet(f"{path}/chunks"), spark.read.parquet(f"{path}/recipes")
+    recipe_columns = "part int, doc_id long, row long, start long, n_tokens long, names array<binary>, root binary"
+    # with a schema: recipes whose files are all lost are no recipes, which the manifest tells
+    chunks, recipes = spark.read.parquet(f"{path}/chunks"), spark.read.schema(recipe_columns).parquet(f"{path}/recipes")
+    # a row for each part on both sides; equal rows cancel out
+    found, written = manifest_of(recipes), spark.read.parquet(f"{path}/manifest")
+    differing = found.withColumn("side", F.lit(1)).unionByName(written.withColumn("side", F.lit(-1))).groupBy(*found.columns).agg(F.sum("side").alias("n")).where("n <> 0")
+    bad = [r["part"] for r in differing.select("part").distinct().orderBy("part").limit(10).collect()]
+    if bad:
+        raise ValueError(f"the store is damaged: recipes differ from the manifest in parts {bad}")
     placed = chunks.where("row IS NOT NULL").select("row", "at", "ids")
     several = chunks.where("row IS NULL").select("name", "ids")
     used = recipes.select("row", F.posexplode("names").alias("at", "name")).join(several, "name").select("row", "at", "ids")

@@ -105,6 +105,26 @@ def test_store_damage_is_found(spark, docs, tmp_path):
         read_store(spark, path).collect()
 
 
+def test_lost_recipes_are_found(spark, docs, tmp_path):
+    """A lost part, a lost document and documents changed together with their roots differ from the manifest."""
+    import shutil
+
+    from kinweave.llm.chunkstore import read_store, write_store
+
+    path = f"file://{tmp_path}/store"
+    write_store(docs.repartition(4), path)
+    assert read_store(spark, path).count() == docs.count()
+    shutil.copytree(f"{tmp_path}/store/recipes", f"{tmp_path}/whole")
+    whole = spark.read.parquet(f"file://{tmp_path}/whole").cache()
+    assert whole.count() == docs.count()
+    some, first = whole.agg(F.max("part")).head()[0], whole.orderBy("start").head()
+    swapped = whole.where(F.col("row") != first["row"]).unionByName(whole.where(F.col("row") == first["row"]).drop("root", "names", "n_tokens").crossJoin(whole.orderBy(F.desc("start")).limit(1).select("root", "names", "n_tokens")))
+    for damaged in (whole.where(F.col("part") != some), whole.where(F.col("row") != first["row"]), swapped):
+        damaged.write.mode("overwrite").parquet(f"{path}/recipes")
+        with pytest.raises(Exception, match="damaged"):
+            read_store(spark, path).collect()
+
+
 def grams(text):
     import re
 
