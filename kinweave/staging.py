@@ -7,6 +7,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,25 @@ def _on_fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+_staged: list[list[str]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession, keep: Callable[[], str]) -> Iterator[None]:
+    """Drops the tables staged inside when it ends, but for the one whose path `keep` then gives."""
+    _staged.append([])
+    try:
+        yield
+    finally:
+        inner = _staged.pop()
+        kept = keep()
+        for path in inner:
+            if path != kept:
+                drop_staged(spark, path)
+        if _staged and kept in inner:
+            _staged[-1].append(kept)
+
+
 def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write `df` to the shared folder; return the table read back and its path. It goes when the session ends."""
     spark = df.sparkSession
@@ -36,6 +57,8 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     df.write.option("compression", "zstd").parquet(path)
     fs, p = _on_fs(spark, path)
     fs.deleteOnExit(p)
+    if _staged:
+        _staged[-1].append(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
