@@ -56,6 +56,14 @@ def trim() -> None:
         pass
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that no column of `df` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def vocabulary_path(name: str) -> str:
     """The file of a public tokenizer on this machine."""
     import public_tokenizers
@@ -124,7 +132,7 @@ class WordEncoder:
 
     Its pre-tokenizer never joins what a space or line feed separates, so the words between them are encoded once
     each and their ids joined; Latin words are told apart from a full stop or comma and lower-cased before, so that
-    fewer are distinct. The strings of special tokens in a text are ordinary text.
+    fewer are distinct. A text that may hold the string of an added token goes to the library whole.
     """
 
     def __init__(self, path: str):
@@ -132,7 +140,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.begins = sorted({t[0] if not t[0].isalnum() else t for t in added})
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
         self.memory = Memory()
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
@@ -209,11 +219,14 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [_words(t) for t in texts]
+        whole = {i for i, t in enumerate(texts) if any(map(t.__contains__, self.begins)) and self.added.search(t)}
+        split = [[] if i in whole else _words(t) for i, t in enumerate(texts)]
         if new := self.memory.missing(split):
             self._learn(new)
         out = [b"".join(map(self.memory.known.__getitem__, s)) for s in split]
         self.memory.forget()
+        for i in whole:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, dtype="<u4").tobytes()
         return out
 
 
