@@ -8,8 +8,8 @@
    ranges of that hash, so that no task holds a whole shard; a table of range counts turns places into slots.
 
 Shard sizes are at most one row apart. Places, not contents, are hashed: equal rows, null ids and ties are dealt
-like any others. An empty table gives an empty result. Columns of the input are carried under their own names; the
-added names are shard and slot, and an input column of the same name must be renamed first (ValueError).
+like any others. An empty table gives an empty result. Columns of the input are carried under their own names; where
+the input has a column shard or slot, the added one gets underscores in front.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kinweave.llm.tokens import free_name
 from kinweave.staging import stage
 
 #: Rows in one range of a shard, on average.
 RANGE_ROWS = 100_000
-#: Most cells of the matrix that is drawn at once; beyond it, partitions are staged in fewer, larger ones.
+#: Most cells of the matrix (64 MB): there are at most MAX_CELLS / shards source partitions.
 MAX_CELLS = 8_000_000
 _PLACE = (1 << 33) - 1
 
@@ -61,17 +62,14 @@ def communication_matrix(counts: list[int], capacities: list[int], seed: int) ->
 
 def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 1, range_rows: int = RANGE_ROWS) -> DataFrame:
     """`df` with `shard` (int) and `slot` (long, gapless from 0 in each shard)."""
-    if {"shard", "slot"} & set(df.columns):
-        raise ValueError("rename the input's columns shard and slot")
     spark, own = df.sparkSession, [f"c{i}" for i in range(len(df.columns))]
     place: Column = F.monotonically_increasing_id()
-    local = df.toDF(*own).withColumn("_key", F.xxhash64(place, F.lit(seed))).sortWithinPartitions("_key")
+    # where there are fewer partitions already, this changes nothing
+    local = df.toDF(*own).coalesce(max(1, MAX_CELLS // shards)).withColumn("_key", F.xxhash64(place, F.lit(seed))).sortWithinPartitions("_key")
     staged, _ = stage(local.withColumn("_at", place).drop("_key"), "shards")
     staged = staged.withColumn("_source", F.shiftright("_at", 33)).withColumn("_rank", F.col("_at").bitwiseAND(F.lit(_PLACE)))
     # one row for each source partition: the driver holds a table of partitions, not of rows
     counts = [(r["_source"], r["n"]) for r in staged.groupBy("_source").agg(F.count("*").alias("n")).orderBy("_source").toLocalIterator()]
-    if len(counts) * shards > MAX_CELLS:
-        return shuffle_into_shards(df.coalesce(max(1, MAX_CELLS // shards)), shards, seed, range_rows)
     n = sum(c for _, c in counts)
     capacities = [n // shards + (s < n % shards) for s in range(shards)]
     ends = communication_matrix([c for _, c in counts], capacities, seed).cumsum(axis=1)
@@ -86,4 +84,4 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 1, range_rows: i
     starts = sizes.select("shard", "_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("shard", "_range").orderBy("_key", "_at")
     placed = dealt.withColumn("_nth", F.row_number().over(within) - 1).join(starts, ["shard", "_range"])
-    return placed.select(*[F.col(c).alias(name) for c, name in zip(own, df.columns)], "shard", (F.col("_start") + F.col("_nth")).alias("slot"))
+    return placed.select(*[F.col(c).alias(name) for c, name in zip(own, df.columns)], F.col("shard").alias(free_name(df, "shard")), (F.col("_start") + F.col("_nth")).alias(free_name(df, "slot")))
