@@ -17,7 +17,8 @@ So no link between documents that share a bucket is lost, and no group is expand
 
 Defined cases: words are runs of ASCII letters, digits, underscore or any non-ASCII characters of the lower-case
 text; a text of 1 to 4 words is one shingle; texts without words are near-copies only if equal; a null text is the
-empty text; rows equal in doc_id and text share one fate; a null doc_id is larger than any other.
+empty text; rows equal in doc_id and text share one fate; a null doc_id is larger than any other, and of a class
+without ids the texts with the smallest hash stay.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinweave.llm.bloomdedup import bit_filter, filter_bits, marked, position
-from kinweave.llm.tokens import hold, slices, small_batches, trim
+from kinweave.llm.tokens import free_name, hold, slices, small_batches, trim
 from kinweave.staging import drop_staged, stage
 
 WORDS, SIMILARITY = 5, 0.8
@@ -168,7 +169,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [np.unique(s) for s in shingles(texts[a:b])]
             sig = signatures(sets)
             bands = [h if len(s) else [] for h, s in zip(band_hashes(sig).tolist(), sets)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), pa.array([_node(s, t) for s, t in zip(sets, texts[a:b])], pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array([s.tobytes() for s in sig], pa.binary())], ["doc_id", "text_hash", "node", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in (0, 1)), pa.array([_node(s, t) for s, t in zip(sets, texts[a:b])], pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_hash", "node", "bands"])
     trim()
 
 
@@ -277,7 +278,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """A row per document: doc_id, text_hash, class_id (the smallest doc_id of its class), class_size, kept."""
     spark = docs.sparkSession
     given = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("text_hash"), F.col(text).cast("string").alias("text"))
-    sketch, _ = stage(given.mapInArrow(_sketch, "doc_id long, text_hash long, node long, bands array<long>, sig binary"), "sketch")
+    sketch, _ = stage(given.mapInArrow(_sketch, "doc_id long, text_hash long, node long, bands array<long>"), "sketch")
     nodes = sketch.groupBy("node").agg(F.first("bands").alias("bands"))
     banded, banded_path = stage(nodes.select("node", F.explode("bands").alias("bucket")), "bands")
     met, met_path = stage(banded.join(banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket"), "met")
@@ -328,8 +329,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     of = sketch.select("doc_id", "text_hash", "node").join(labels, "node", "left").select("doc_id", "text_hash", F.coalesce("label", "node").alias("label"))
     of, _ = stage(of, "labels")
     # a table of one row a class, so that adaptive execution can split a large class in the join
-    classes, _ = stage(of.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
-    return of.join(classes, "label").select("doc_id", "text_hash", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    classes, _ = stage(of.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.when(F.col("doc_id").isNull(), F.col("text_hash"))).alias("least")), "classes")
+    stays = F.when(F.col("class_id").isNull(), F.col("text_hash") == F.col("least")).otherwise(F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
+    return of.join(classes, "label").select("doc_id", "text_hash", "class_id", "class_size", stays.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
@@ -341,11 +343,3 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     lost = gone.select(F.col("id").alias(id_), F.col("h").alias(h))
     held = docs.where(maybe).join(lost, text_hash.eqNullSafe(F.col(h)) & F.col(doc_id).cast("long").eqNullSafe(F.col(id_)), "left_anti")
     return docs.where(~maybe).unionByName(held)
-
-
-def free_name(df: DataFrame, name: str) -> str:
-    """A column name that no column of `df` has, whatever the case."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name = "_" + name
-    return name
