@@ -15,12 +15,14 @@ SHARDS = 40
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, whole, in 40 shards whose row counts are at most one apart; a digest of the sharded rows."""
     from kinweave.llm.sharding import shuffle_into_shards
+    from kinweave.llm.tokens import free_name
     from kinweave.staging import stage
 
+    docs = table(spark, sf_dir, "documents")
     # written, so that every column of a row reaches its shard and not only those of the digest
-    sharded, _ = stage(shuffle_into_shards(table(spark, sf_dir, "documents"), SHARDS), "sharded")
+    sharded, _ = stage(shuffle_into_shards(docs, SHARDS), "sharded")
     utf8 = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return sharded.select("doc_id", (F.octet_length(utf8) + 16).cast("bigint").alias("size"), F.crc32(utf8).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return sharded.select("doc_id", (F.octet_length(utf8) + 16).cast("bigint").alias("size"), F.crc32(utf8).alias("text_crc32"), F.lit("rows").alias("law"), F.col(free_name(docs, "shard")).alias("shard"), F.col(free_name(docs, "slot")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,9 +50,9 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with surrogates for the personal data in it, and how many of each kind."""
-    from kinweave.llm.surrogates import replace_personal_data
+    from kinweave.llm.surrogates import replace_personal_data, session_key
 
-    done = replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = replace_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), session_key(spark))
     kinds = F.array_join(F.transform(F.array_sort(F.map_entries("replaced")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
     return done.select("doc_id", "text", kinds.alias("replaced"))
 
