@@ -1,11 +1,13 @@
 """A content-addressed store of token streams.
 
-Writing. Each task encodes its documents and cuts every id stream where a rolling hash of the last WINDOW ids has its
+Writing. The documents are dealt by ranges of doc_id and sorted, so that ids are written in ascending doc_id order. Each
+task encodes its documents and cuts every id stream where a rolling hash of the last WINDOW ids has its
 low bits zero, so that equal passages give equal chunks wherever they stand. A chunk is named by a 128-bit hash of its
 bytes. The files of a store, all Parquet:
 
-- `chunks`: each unique chunk once. A chunk that only one place uses also names that place.
-- `recipes`: in ascending doc_id order a row per document: its chunks in order, its place `start` in the stream of all
+- `chunks`: each unique chunk once, those of a task in the order of its documents. A chunk that only one place uses also
+  names that place.
+- `recipes`: by ascending doc_id a row per document: its chunks in order, its place `start` in the stream of all
   ids, its length, and the Merkle root of its chunks.
 - `manifest`: for each part of the recipes, in order, the first and last doc_id and the Merkle root of its documents.
 
@@ -36,6 +38,8 @@ from kinweave.llm.bloomdedup import bit_filter, filter_bits, marked, position
 from kinweave.llm.tokens import hold, slices, small_batches, trim, vocabulary_path, word_encoder
 from kinweave.staging import drop_staged, shared_dir, stage
 
+#: Stored bytes of documents in one range, about.
+RANGE_BYTES = 16 << 20
 WINDOW, SHORTEST, MEAN, LONGEST = 8, 128, 512, 2048
 _GEAR = np.array([pow(0x01000193, k, 1 << 32) for k in range(WINDOW)], dtype=np.uint32)
 _CUT = "row long, doc_id long, at int, name binary, ids binary, n_tokens long, names array<binary>, root binary"
@@ -85,6 +89,8 @@ def _cut_documents(docs: DataFrame, vocabulary: str | None, end_id: int, width:
         hold("words")
         encoder, row = word_encoder(vocabulary or vocabulary_path("word_bpe_49k.json")), TaskContext.get().partitionId() << 33
         end, met = np.array([end_id], "<u4").tobytes(), set()
+        if max(end_id, len(encoder.ends) - 1) > np.iinfo(width).max:
+            raise ValueError(f"ids of this vocabulary do not fit {width}")
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
@@ -121,8 +127,13 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = 1, width: str = "<u2", text: str = "text", doc_id: str = "doc_id") -> None:
-    """Write the documents as a store in the folder `path`. `width` is the numpy type of an id in the files."""
-    cut, cut_path = stage(_cut_documents(docs.select(F.col(doc_id).cast("long"), F.col(text).cast("string")), vocabulary, end_id, width), "cut")
+    """Write the documents as a store in the folder `path`. `width` is the numpy type of an id in the files; ids that do not fit it fail."""
+    given = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    # equal ids may be many: their texts' lengths and hashes split them
+    size, sc = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), docs.sparkSession.sparkContext
+    parts = max(4 * sc.defaultParallelism, min(100_000, size // RANGE_BYTES))
+    order = ["doc_id", F.xxhash64("text")]
+    cut, cut_path = stage(_cut_documents(given.repartitionByRange(parts, *order).sortWithinPartitions(*order), vocabulary, end_id, width), "cut")
     bits = filter_bits(cut.count())
     key = F.xxhash64("name")
     # names that stand in more than one place; only names shuffle, combined first
@@ -136,17 +147,16 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     several = sent.where("shared").groupBy("name").agg(F.first("ids").alias("ids")).select("name", F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("at"), "ids")
     alone.unionByName(several).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
-    width_of_part = F.spark_partition_id()
-    recipes = cut.where("at = 0").select("doc_id", "row", "n_tokens", "names", "root")
-    ranged, ranged_path = stage(recipes.repartitionByRange("doc_id", "root", "row").sortWithinPartitions("doc_id", "root", "row").withColumn("part", width_of_part), "recipes")
+    # rows ascend with doc_id: the upper bits are the range
+    ranged = cut.where("at = 0").select(F.shiftright("row", 33).cast("int").alias("part"), "doc_id", "row", "n_tokens", "names", "root")
     parts = ranged.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # a row for each part: no more than partitions
     before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = Window.partitionBy("part").orderBy("doc_id", "root", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.join(F.broadcast(before), "part").withColumn("start", F.col("base") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).select("part", "doc_id", "row", "start", "n_tokens", "names", "root")
     placed.write.option("compression", "zstd").parquet(f"{path}/recipes")
     manifest_of(spark.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
-    for p in (cut_path, filter_path, ranged_path):
+    for p in (cut_path, filter_path):
         drop_staged(spark, p)
 
 
