@@ -2,8 +2,9 @@
 
 The distinct pieces of a batch (matches of the pattern) are bucketed by length into padded matrices of token ids. In
 each round every row merges its leftmost pair of the smallest rank; ranks come from a hashed table of pairs, a merged
-row closes up by one column, and rows without a pair leave the matrix. Pieces longer than LONGEST bytes, which would
-need as many rounds, go through a heap with the same rule. Decoding gathers token bytes by id.
+row closes up by one column, and rows without a pair leave the matrix. A piece longer than LONGEST bytes is a matrix of
+its own, of one row, in which a round makes all the merges that the rule would make one after another with that rank.
+Decoding gathers token bytes by id.
 
 Defined cases: a null text is the empty text, which has no ids; lone surrogates cannot occur in Spark strings.
 """
@@ -11,7 +12,6 @@ Defined cases: a null text is the empty text, which has no ids; lone surrogates
 from __future__ import annotations
 
 import hashlib
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -117,26 +117,41 @@ class ByteBPE:
                     ranks[some, at[some]] = self.rank(ids[some, at[some]], ids[some, at[some] + 1])
         return out
 
-    def merge_long(self, word: bytes) -> list[int]:
-        """The same merges for a long piece: a heap of (rank, place) over a linked list."""
-        ids, n = self.of_byte[np.frombuffer(word, dtype=np.uint8)].tolist(), len(word)
-        after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        first = self.rank(np.array(ids[:-1]), np.array(ids[1:])).tolist()
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        by_id = lambda i: self.flat[self.starts[i] : self.starts[i] + self.lengths[i]].tobytes()
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] != a or j < 0 or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = r, -1, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for x in (before[i], i):
-                if x >= 0 and (y := after[x]) >= 0 and (r := self.ranks.get(by_id(ids[x]) + by_id(ids[y]))) is not None:
-                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return [x for x in ids if x >= 0]
+    def merge_row(self, word: bytes) -> list[int]:
+        """The same merges for a matrix of one long row, several of them in a round.
+
+        The pairs of the smallest rank are merged from the left. A merge that makes a pair of a smaller rank ends the
+        round, since that pair comes before those to its right.
+        """
+        ids = self.of_byte[np.frombuffer(word, dtype=np.uint8)]
+        ranks = self.rank(ids[:-1], ids[1:])
+        while len(ids) > 1 and (least := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == least)
+            # of pairs that overlap the left one: in each run of neighbours every other one
+            begins = np.concatenate([[True], np.diff(at) > 1])
+            run = np.cumsum(begins) - 1
+            at = at[(at - at[begins][run]) % 2 == 0]
+            merged = ids.copy()
+            merged[at] = least
+            keep = np.ones(len(ids), dtype=bool)
+            keep[at + 1] = False
+            # a round ends behind the first merge whose new pairs rank below `least`
+            after = np.minimum(at + 2, len(ids) - 1)
+            right = np.where(at + 2 < len(ids), self.rank(merged[at], ids[after]), NONE)
+            left = np.where(at > 0, self.rank(np.where((at > 1) & ~keep[at - 1], merged[at - 2], ids[at - 1]), merged[at]), NONE)
+            early = np.flatnonzero(np.minimum(left, right) < least)
+            if len(early) and early[0] + 1 < len(at):
+                at = at[: early[0] + 1]
+                merged, keep = ids.copy(), np.ones(len(ids), dtype=bool)
+                merged[at], keep[at + 1] = least, False
+            places = np.cumsum(keep)[at] - 1
+            ids = merged[keep]
+            # the pair that begins at a merged place is gone, and so is the rank at the place that closes up
+            ranks = ranks[keep[1:]]
+            for i in (places - 1, places):
+                i = i[(i >= 0) & (i + 1 < len(ids))]
+                ranks[i] = self.rank(ids[i], ids[i + 1])
+        return ids.tolist()
 
     def encode_pieces(self, pieces: list[str]) -> Iterator[tuple[str, list[int]]]:
         """Each piece with its ids, in any order."""
@@ -146,7 +161,7 @@ class ByteBPE:
             if (whole := self.ranks.get(w)) is not None:
                 yield p, [whole]
             elif len(w) > LONGEST:
-                yield p, self.merge_long(w)
+                yield p, self.merge_row(w)
             else:
                 buckets.setdefault(max(4, 1 << (len(w) - 1).bit_length() if len(w) > 16 else (len(w) + 3) // 4 * 4), []).append((p, w))
         for width, found in buckets.items():
