@@ -7,13 +7,19 @@ shuffle, and equality among them is decided on the SHA-256 of the whole text.
 
 Defined cases: a null text counts as the empty text; of equal texts the row with the largest doc_id stays (a null
 doc_id is smaller than any other); of rows equal in text and doc_id exactly one stays; an empty table gives an empty
-result; further columns are carried by `exact_dedup` under their own names, whatever they are.
+result; further columns are carried by `exact_dedup` under their own names, whatever they are; of rows equal in text and
+doc_id the one stays whose further columns are largest, those that have no order (maps) as JSON.
+
+What travels to build a filter is a bit position of 8 bytes for each row, counted before the shuffle: no text and no
+other column. A bitmap for each task, sent whole, would be the larger of the two as soon as a task marks fewer bits than
+1/64 of the filter, which is the rule with many tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kinweave.staging import stage
 
@@ -48,7 +54,7 @@ def marked(pieces: Column, pos: Column) -> Column:
     """Whether the bit `pos` is set. An unset piece is stored as a single zero byte."""
     piece = F.element_at(pieces, (F.floor(pos / F.lit(PIECE)) + 1).cast("int"))
     low = F.pmod(pos, F.lit(PIECE).cast("bigint")).cast("int")
-    byte = F.conv(F.hex(F.substring(piece, F.shiftright(low, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    byte = F.ascii(F.decode(F.substring(piece, F.shiftright(low, 3) + 1, F.lit(1)), "ISO-8859-1"))
     return F.coalesce(F.getbit(byte, F.pmod(low, F.lit(8))) == 1, F.lit(False))
 
 
@@ -80,12 +86,19 @@ def dedup_report(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ma
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of `docs` that stay, all columns. Further columns must be orderable: they break ties."""
+    """The rows of `docs` that stay, all columns. Further columns break ties."""
     maybe = possibly_repeated(docs, F.col(text), max_bits)
     # by position, so that names with dots or of any other kind do no harm
     cols = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
-    flagged = docs.select(F.struct(F.col(doc_id), F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)])).alias("row"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("sha"), maybe.alias("maybe"))
+    ordered = [F.to_json(F.struct(c)) if _unordered(f.dataType) else c for c, f in zip(cols, docs.schema.fields) if f.name != text]
+    flagged = docs.select(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(cols)]).alias("row"), F.struct(F.col(doc_id), *ordered).alias("rank"), F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("sha"), maybe.alias("maybe"))
     # the largest row of each group, combined before the shuffle: a hot group leaves each task as one row
-    best = flagged.where("maybe").groupBy("sha").agg(F.max("row").alias("row")).select("row")
+    best = flagged.where("maybe").groupBy("sha").agg(F.max_by("row", "rank").alias("row")).select("row")
     rows = flagged.where(~F.col("maybe")).select("row").unionByName(best)
-    return rows.select(*[F.col(f"row.col2.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return rows.select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
+def _unordered(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_unordered(f.dataType) for f in kind.fields)
+    return _unordered(kind.elementType) if isinstance(kind, T.ArrayType) else isinstance(kind, (T.MapType, T.VariantType))
