@@ -6,9 +6,23 @@ join, which bounds the rows of any one key; the window that keeps the best k is
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinweave.functions import text as X
+from kinweave.operators.records import search_texts
+from kinweave.staging import stage
+
+#: The search paths in the order of their bits.
+PATHS = "name phon addr comb cat rev acr sl_name sl_phon sl_cat sl_addr sl_comb s1sl_name s1sl_phon s1sl_cat s1sl_comb x_name x_phon x_addr x_numtok x_sl".split()
+BITS = {name: 1 << i for i, name in enumerate(PATHS)}
+#: How many candidates a path keeps, and the name's share of the combined vector.
+KEPT = {"name": 15, "phon": 10, "addr": 15, "comb": 20, "cat": 5, "rev": 3, "stateless": 20, "acr": 3}
+NAME_SHARE = 0.6
+COSINES = ["cos_name", "cos_phon", "cos_addr", "cos_comb", "cos_cat"]
+
 
 def grams(df: DataFrame, id_: str, terms: Column, part: Column | None = None) -> DataFrame:
     """id, part, gram, tf of the array column `terms`; combined before the shuffle."""
@@ -99,11 +113,10 @@ def unique_key_match(s1: DataFrame, pool: DataFrame, keys: list[str]) -> DataFra
     return pool.join(one, keys)
 
 
-def acronym_join(s1: DataFrame, pool: DataFrame, k: int = 3) -> DataFrame:
-    """s1 rows (acronym) with pool rows whose short name without a space is that acronym; the best k for each pool row by `cos`."""
-    short = pool.where("length(name) BETWEEN 2 AND 5 AND NOT contains(name, ' ')")
-    found = s1.where("acronym <> ''").join(short, [F.col("acronym") == F.col("name"), s1["part"] == short["part"]]).select("s1_id", "m_id", F.lit(1.0).alias("cos"))
-    return top_k(found, "m_id", "s1_id", k)
+def acronym_pairs(s1: DataFrame, pool: DataFrame) -> DataFrame:
+    """s1 rows (s1_id, part, acronym) with pool rows (m_id, part, name) whose short name without a space is that acronym."""
+    short = pool.where("length(name) BETWEEN 2 AND 5 AND NOT contains(name, ' ')").select("m_id", "part", F.col("name").alias("acronym"))
+    return s1.where("acronym <> ''").select("s1_id", "part", "acronym").join(short, ["part", "acronym"]).select("s1_id", "m_id")
 
 
 def trade_name_join(s1: DataFrame, pool: DataFrame, scorer, number_cap: int = 3000, k: int = 5) -> DataFrame:
@@ -116,11 +129,42 @@ def trade_name_join(s1: DataFrame, pool: DataFrame, scorer, number_cap: int = 30
     return top_k(pairs.withColumn("cos", scorer("address_a", "address_b")), "m_id", "s1_id", k)
 
 
-def dense_top_k(queries: DataFrame, pool: DataFrame, k: int, part: str = "part") -> DataFrame:
-    """Exact cosine top k within a part; vectors of unit length in array columns `v`, ids s1_id and m_id."""
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = queries.select("m_id", part, F.col("v").alias("vb")).join(pool.select("s1_id", part, F.col("v").alias("va")), part).where("m_id <> s1_id")
-    return top_k(pairs.select("s1_id", "m_id", dot.alias("cos")), "m_id", "s1_id", k, least=-2.0)
+def dense_top_k(queries: DataFrame, pool: DataFrame, k: int, part: str = "part", rows: int = 4096) -> DataFrame:
+    """Exact cosine top k within a part; vectors of unit length in array columns `v`, ids s1_id and m_id (long).
+
+    Both sides of a part are cut into blocks of about `rows`, and a pair of blocks is one matrix product, of which only
+    the k best of each query leave the task: rows are never joined one by one.
+    """
+    def blocks(df: DataFrame, id_: str) -> DataFrame:
+        sizes = df.groupBy(part).agg(F.ceil(F.count("*") / rows).cast("int").alias("n"))
+        return df.select(id_, part, "v").toDF(id_, part, "v").join(sizes.toDF(part, "n"), part).withColumn("own", F.pmod(F.xxhash64(id_), F.col("n")).cast("int"))
+
+    q, p = blocks(queries, "m_id"), blocks(pool, "s1_id")
+    counts = q.groupBy(part).agg(F.max("n").alias("qn")).join(p.groupBy(part).agg(F.max("n").alias("pn")), part)
+    left = q.join(counts.select(part, "pn"), part).select(part, F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("pn") - 1)).alias("j"), "m_id", "v")
+    right = p.join(counts.select(part, "qn"), part).select(part, F.explode(F.sequence(F.lit(0), F.col("qn") - 1)).alias("i"), F.col("own").alias("j"), "s1_id", "v")
+
+    def product(a: pa.Table, b: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if a.num_rows and b.num_rows:
+            x, y = (np.stack(t["v"].to_numpy()) for t in (a, b))
+            asked, known = a["m_id"].to_numpy(), b["s1_id"].to_numpy()
+            order = np.argsort(known, kind="stable")
+            y, known = y[order], known[order]
+            for at in range(0, len(x), 512):
+                cos = x[at : at + 512] @ y.T
+                cos[asked[at : at + 512, None] == known] = -np.inf
+                # rounded before ranking, so that equal cosines are ties in every block
+                best = np.argsort(-np.round(cos, 12), axis=1, kind="stable")[:, :k]
+                values = np.take_along_axis(cos, best, axis=1)
+                some = np.isfinite(values)
+                out[0] += known[best][some].tolist()
+                out[1] += np.repeat(asked[at : at + 512], some.sum(axis=1)).tolist()
+                out[2] += values[some].tolist()
+        return pa.table({"s1_id": pa.array(out[0], pa.int64()), "m_id": pa.array(out[1], pa.int64()), "cos": pa.array(out[2], pa.float64())})
+
+    found = left.groupBy(part, "i", "j").cogroup(right.groupBy(part, "i", "j")).applyInArrow(product, "s1_id long, m_id long, cos double")
+    return top_k(found.withColumn("cos", F.round("cos", 12)), "m_id", "s1_id", k, least=-2.0)
 
 
 def containment(s1: DataFrame, pool: DataFrame, table: DataFrame, k: int = 3, least: float = 0.5) -> DataFrame:
@@ -138,3 +182,262 @@ def infer_part(df: DataFrame, id_: str, words: Column, part: str, support: int =
     votes = long.where("part IS NULL OR part = ''").join(pure.select("word", "says"), "word").groupBy("id", "says").agg(F.count("*").alias("n"))
     best = votes.groupBy("id").agg(F.sum("n").alias("total"), F.max("n").alias("top"), F.max_by("says", F.struct("n", "says")).alias("inferred"))
     return best.where(F.col("top") >= F.col("total") * share).select("id", "inferred")
+
+
+# the search paths over normalised records, as one long table (id, path, part, gram, w): one join serves all paths
+
+def path_vectors(s1: DataFrame, pool: DataFrame, min_df: int = 2, max_share: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """Vectors (id, path, gram, w) of unit length for the paths name, phon, addr, cat and comb, of both sides.
+
+    Grams of three characters, within words but for cat; weights (1 + ln tf) x idf, idf over both sides of a country.
+    comb joins name and addr with the roots of their shares.
+    """
+    def grams_of(df: DataFrame) -> DataFrame:
+        texts = search_texts(df)
+        def tagged(path: str):
+            return lambda g: F.struct(F.lit(path).alias("path"), g.alias("gram"))
+
+        parts = [F.transform(X.char_grams(t) if p == "cat" else X.word_grams(t), tagged(p)) for p, t in texts.items()]
+        long = df.select(F.col("entity_id").alias("id"), "country", F.inline(F.concat(*parts)))
+        return long.groupBy("id", "country", "path", "gram").agg(F.count("*").alias("tf"))
+
+    a, b = grams_of(s1), grams_of(pool)
+    n = s1.select("country").unionByName(pool.select("country")).groupBy("country").agg(F.count("*").alias("n"))
+    df = a.unionByName(b).groupBy("country", "path", "gram").agg(F.count("*").alias("df")).join(F.broadcast(n), "country")
+    idf_ = df.where((F.col("df") >= min_df) & (F.col("df") <= F.col("n") * max_share)).select("country", "path", "gram", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+    def vectors(g: DataFrame) -> DataFrame:
+        raw = g.join(idf_, ["country", "path", "gram"]).select("id", "path", "gram", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
+        single = _unit_by(raw, "id", "path")
+        share = F.when(F.col("path") == "name", NAME_SHARE**0.5).otherwise((1 - NAME_SHARE) ** 0.5)
+        both = single.where("path IN ('name', 'addr')").select("id", F.lit("comb").alias("path"), F.concat_ws(":", "path", "gram").alias("gram"), (F.col("w") * share).alias("w"))
+        return single.unionByName(_unit_by(both, "id", "path"))
+
+    return vectors(a), vectors(b)
+
+
+def _unit_by(raw: DataFrame, *keys: str) -> DataFrame:
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(*keys)))
+    return raw.withColumn("w", F.col("w") / norm)
+
+
+def pruned(vectors: DataFrame, parts: DataFrame, everyone: DataFrame, rows: int = 5000, share: float = 0.02, most: int = 6000) -> DataFrame:
+    """Vectors (with their part) without the grams that too many records of a large part hold, for the search only.
+
+    `parts` is id, part; `everyone` the vectors of both sides with their part and side (pool or not). A part is large
+    if `rows` of its pool have a vector.
+    """
+    sizes = everyone.select("part", "side", "id").distinct().groupBy("part").agg(F.count("*").alias("n"), F.count(F.when(F.col("side") == "pool", 1)).alias("n_pool"))
+    common = everyone.where("path <> 'comb'").groupBy("part", "path", "gram").agg(F.count("*").alias("df")).join(F.broadcast(sizes), "part")
+    common = common.where((F.col("n_pool") >= rows) & (F.col("df") > F.least(F.col("n") * share, F.lit(most)))).select("part", "path", "gram")
+    comb = common.where("path IN ('name', 'addr')").select("part", F.lit("comb").alias("path"), F.concat_ws(":", "path", "gram").alias("gram"))
+    kept = vectors.join(parts, "id").join(common.unionByName(comb), ["part", "path", "gram"], "left_anti")
+    return _unit_by(kept, "id", "part", "path")
+
+
+def state_parts(s1: DataFrame, pool: DataFrame, least: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """id, part of both sides: country and merged state; empty state where a record has none; one part for a country of whose s1 fewer than `least` have a state."""
+    cover = s1.groupBy("country").agg((F.avg((F.col("addr_state") != "").cast("double")) >= least).alias("split"))
+    part = F.when(~F.col("split"), F.concat_ws("/", "country", F.lit("*"))).when(F.col("addr_state") == "", F.lit("")).otherwise(F.concat_ws("/", "country", X.merged_state(F.col("addr_state"))))
+    return tuple(df.join(F.broadcast(cover), "country", "left").select(F.col("entity_id").alias("id"), "country", F.coalesce("split", F.lit(True)).alias("split"), part.alias("part")) for df in (s1, pool))
+
+
+def path_cosines(a: DataFrame, b: DataFrame, *keys: str) -> DataFrame:
+    """path, s1_id, m_id, cos of all pairs that share a gram of a path, within equal keys."""
+    x = a.select(F.col("id").alias("s1_id"), *keys, "path", "gram", F.col("w").alias("wa"))
+    y = b.select(F.col("id").alias("m_id"), *keys, "path", "gram", F.col("w").alias("wb"))
+    return x.join(y, [*keys, "path", "gram"]).groupBy("path", "s1_id", "m_id").agg(F.sum(F.col("wa") * F.col("wb")).alias("cos"))
+
+
+def best_of_paths(scored: DataFrame, key: str, other: str, kept: dict[str, int], prefix: str = "") -> DataFrame:
+    """s1_id, m_id, via: the best of each key and path, ties to the smaller other id; scores are rounded so that ties are ties."""
+    most = F.element_at(F.create_map(*[F.lit(v) for kv in kept.items() for v in kv]), F.col("path"))
+    order = Window.partitionBy("path", key).orderBy(F.desc(F.round("cos", 9)), other)
+    ranked = scored.where(F.col("path").isin(list(kept)) & (F.col("cos") > 1e-6)).withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(kept.values())).where(F.col("r") <= most)
+    bit = F.element_at(F.create_map(*[F.lit(v) for p in kept for v in (p, BITS[prefix + p])]), F.col("path"))
+    return ranked.select("s1_id", "m_id", bit.alias("via"))
+
+
+def exact_paths(s1: DataFrame, pool: DataFrame, s1_cap: int = 30, pool_cap: int = 150, token_caps: tuple[int, int] = (10, 40)) -> DataFrame:
+    """s1_id, m_id, via of pairs with an equal key: name, sound or address in a part (four characters or more); sound token and house number in a part; for records without a state the name or sound in the country. Keys held by more rows than the caps are skipped."""
+    found = []
+    for key, bit in (("name_core", "x_name"), ("name_phon", "x_phon"), ("addr_text", "x_addr")):
+        a, b = (df.where((F.length(key) >= 4) & (F.col("part") != "")).select(F.col("entity_id").alias(id_), "part", F.col(key).alias("key")) for df, id_ in ((s1, "s1_id"), (pool, "m_id")))
+        found.append(capped_equi_join(a, b, ["part", "key"], s1_cap, pool_cap).select("s1_id", "m_id", F.lit(BITS[bit]).alias("via")))
+    both = [df.where("part <> ''").select(F.col("entity_id").alias(id_), "part", F.explode(X.tokens(F.col("name_phon"))).alias("token"), "addr_nums").where("length(token) >= 3").select(id_, "part", "token", F.explode(X.tokens(F.col("addr_nums"))).alias("number")).distinct() for df, id_ in ((s1, "s1_id"), (pool, "m_id"))]
+    found.append(capped_equi_join(*both, ["part", "token", "number"], *token_caps).select("s1_id", "m_id").distinct().withColumn("via", F.lit(BITS["x_numtok"])))
+    for key in ("name_core", "name_phon"):
+        a, b = (df.where(F.length(key) >= 4).select(F.col("entity_id").alias(id_), "country", F.col(key).alias("key"), "part") for df, id_ in ((s1, "s1_id"), (pool, "m_id")))
+        few = a.groupBy("country", "key").count().where(F.col("count") <= s1_cap).select("country", "key")
+        found.append(a.drop("part").join(few, ["country", "key"], "left_semi").join(b.where("part = ''").drop("part"), ["country", "key"]).select("s1_id", "m_id", F.lit(BITS["x_sl"]).alias("via")))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def candidate_pairs(s1: DataFrame, pool: DataFrame, max_share: float = 0.02, kept: dict[str, int] = KEPT, prune_rows: int = 5000) -> DataFrame:
+    """s1_id, m_id, via and the five cosines on whole vectors: the union of all search paths.
+
+    Records with a state are searched in their part, both ways; records and s1 without one in their country; then
+    acronyms and equal keys. Pruned grams serve the search only, every candidate is scored on whole vectors.
+    """
+    pa_, pb = state_parts(s1, pool)
+    # both are read by every path
+    va, vb = (stage(v, f"vectors-{i}")[0] for i, v in enumerate(path_vectors(s1, pool, max_share=max_share)))
+    ids_a, ids_b = pa_.where("part <> ''").select("id", "part"), pb.where("part <> ''").select("id", "part")
+    everyone = va.join(ids_a, "id").withColumn("side", F.lit("s1")).unionByName(vb.join(ids_b, "id").withColumn("side", F.lit("pool")))
+    inside, _ = stage(path_cosines(pruned(va, ids_a, everyone, prune_rows), pruned(vb, ids_b, everyone, prune_rows), "part"), "cosines")
+    forward = {p: kept[p] for p in ("name", "phon", "addr", "comb", "cat")}
+    found = [best_of_paths(inside, "s1_id", "m_id", forward)]
+    back = inside.where("path = 'comb'").withColumn("path", F.lit("rev"))
+    found.append(best_of_paths(back, "m_id", "s1_id", {"rev": kept["rev"]}))
+    lost_b, lost_a = pb.where("split AND part = ''").select("id", "country"), pa_.where("split AND part = ''").select("id", "country")
+    whole_a, whole_b = pa_.select("id", "country"), pb.select("id", "country")
+    stateless = path_cosines(va.join(whole_a, "id"), vb.join(lost_b, "id"), "country")
+    found.append(best_of_paths(stateless, "m_id", "s1_id", {p: kept["stateless"] for p in forward}, "sl_"))
+    s1_lost = path_cosines(va.join(lost_a, "id"), vb.join(whole_b, "id"), "country")
+    found.append(best_of_paths(s1_lost, "s1_id", "m_id", {"name": kept["name"], "phon": kept["phon"], "cat": kept["cat"], "comb": kept["name"]}, "s1sl_"))
+    a, b = s1.join(pa_.select(F.col("id").alias("entity_id"), "part"), "entity_id"), pool.join(pb.select(F.col("id").alias("entity_id"), "part"), "entity_id")
+    found.append(exact_paths(a, b))
+    short = acronym_pairs(a.select(F.col("entity_id").alias("s1_id"), "part", X.acronym(F.col("name_core")).alias("acronym")), b.select(F.col("entity_id").alias("m_id"), "part", F.col("name_core").alias("name")))
+    by_address = with_cosines(short.withColumn("via", F.lit(BITS["acr"])), va, vb)
+    order = Window.partitionBy("m_id").orderBy(F.desc(F.round("cos_addr", 9)), "s1_id")
+    found.append(by_address.withColumn("r", F.row_number().over(order)).where(F.col("r") <= kept["acr"]).select("s1_id", "m_id", "via"))
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return with_cosines(out.groupBy("s1_id", "m_id").agg(F.bit_or("via").alias("via")), va, vb)
+
+
+def with_cosines(pairs: DataFrame, va: DataFrame, vb: DataFrame) -> DataFrame:
+    """Pairs with the cosine of each path on whole vectors; 0 where a text is missing or nothing is shared."""
+    x = pairs.select("s1_id", "m_id").join(va.select(F.col("id").alias("s1_id"), "path", "gram", F.col("w").alias("wa")), "s1_id")
+    hit = x.join(vb.select(F.col("id").alias("m_id"), "path", "gram", F.col("w").alias("wb")), ["m_id", "path", "gram"])
+    cos = hit.groupBy("s1_id", "m_id").agg(*[F.sum(F.when(F.col("path") == c.removeprefix("cos_"), F.col("wa") * F.col("wb"))).alias(c) for c in COSINES])
+    return pairs.join(cos, ["s1_id", "m_id"], "left").na.fill(0.0, COSINES)
+
+
+def fuzzy_top_k(s1: DataFrame, pool: DataFrame, k: int = 5, rows: int = 500) -> DataFrame:
+    """s1_id, m_id: for each pool row of another script the k s1 rows of its part with the most similar sound (then name), and the k with the most similar name.
+
+    Exhaustive by meaning: every such row is compared with every s1 row of its part, in blocks of `rows` pool rows, of
+    which only the k best leave the task.
+    """
+    from kinweave.functions import batch
+
+    a = s1.select(F.col("entity_id").alias("s1_id"), "part", "name_phon", "name_core")
+    b = pool.where("name_non_latin AND part <> ''").select(F.col("entity_id").alias("m_id"), "part", F.col("name_phon").alias("phon_b"), F.col("name_core").alias("core_b"))
+    sizes = b.groupBy("part").agg(F.ceil(F.count("*") / rows).cast("int").alias("n"))
+    left = b.join(sizes, "part").withColumn("i", F.pmod(F.xxhash64("m_id"), F.col("n")).cast("int"))
+    right = a.join(sizes, "part").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+
+    def search(q: pa.Table, known: pa.Table) -> pa.Table:
+        out: set[tuple[str, str]] = set()
+        known = known.sort_by("s1_id")
+        ids, sounds, names = (known[c].to_pylist() for c in ("s1_id", "name_phon", "name_core"))
+        for m, sound, name in zip(*(q[c].to_pylist() for c in ("m_id", "phon_b", "core_b"))) if ids else ():
+            by_name = batch.indel_ratio([name] * len(ids), names)
+            by_sound = 1000 * batch.indel_ratio([sound] * len(ids), sounds) + by_name
+            for score in (by_sound, by_name):
+                out |= {(ids[i], m) for i in np.argsort(-score, kind="stable")[:k]}
+        columns = list(zip(*sorted(out))) or [[], []]
+        return pa.table({"s1_id": pa.array(columns[0], pa.string()), "m_id": pa.array(columns[1], pa.string())})
+
+    return left.groupBy("part", "i").cogroup(right.groupBy("part", "i")).applyInArrow(search, "s1_id string, m_id string")
+
+
+def translated_join(s1: DataFrame, pool: DataFrame, table: Column, fillers: list[str], cap: int = 30) -> DataFrame:
+    """Pairs whose names are equal in a part once the words of the pool's name are translated; keys of more than `cap` s1 rows are skipped."""
+    a = s1.select(F.col("entity_id").alias("s1_id"), "part", F.col("name_core").alias("key"))
+    few = a.groupBy("part", "key").count().where(F.col("count") <= cap).select("part", "key")
+    b = pool.select(F.col("entity_id").alias("m_id"), "part", X.translate_words(F.col("name_core"), table, fillers).alias("key"))
+    return a.join(few, ["part", "key"], "left_semi").join(b, ["part", "key"]).select("s1_id", "m_id")
+
+
+def true_ranks(scored: DataFrame, truth: DataFrame) -> DataFrame:
+    """rank, n, recall: how many true pairs have which rank among their record's candidates, and the recall up to it."""
+    rank = F.row_number().over(Window.partitionBy("m_id").orderBy(F.desc("cos"), "s1_id"))
+    at = scored.withColumn("rank", rank).join(truth.select("s1_id", "m_id"), ["s1_id", "m_id"], "left_semi").groupBy("rank").agg(F.count("*").alias("n"))
+    run = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # as many rows as ranks
+    return at.join(F.broadcast(truth.agg(F.count("*").alias("total")))).select("rank", "n", (F.sum("n").over(run) / F.col("total")).alias("recall"))
+
+
+# rescues: equal name and numbers under conditions
+
+def rescue(s1: DataFrame, pool: DataFrame, vocabulary: list[str], body: bool = True, least: float = 0.5) -> DataFrame:
+    """s1_id, m_id of pool rows that equal exactly one s1 row of the country in name core and house numbers, with like streets, compatible legal forms, no word of the vocabulary added, and (by default) the same raw words.
+
+    Both sides: entity_id, country, business_name, name_core, addr_text.
+    """
+    def key(df: DataFrame, side: str) -> DataFrame:
+        keyed = df.where("name_core <> ''").select(F.col("entity_id").alias(f"{side}_id"), "country", "name_core", X.number_multiset(F.col("addr_text")).alias("nk"), X.street_words(F.col("addr_text")).alias(f"{side}_street"), X.body(F.col("business_name")).alias(f"{side}_body"), X.raw_legal(F.col("business_name")).alias(f"{side}_legal"), X.raw_words(F.col("business_name")).alias(f"{side}_words"))
+        return keyed.where(F.size("nk") > 0)
+
+    a, keys = key(s1, "s1"), ["country", "name_core", "nk"]
+    one = a.groupBy(*keys).agg(F.count("*").alias("n"), F.first(F.struct(*[c for c in a.columns if c not in keys])).alias("s")).where("n = 1")
+    x = key(pool, "m").join(one, keys)
+    legal = (F.size("s.s1_legal") == 0) | (F.size("m_legal") == 0) | (F.col("s.s1_legal") == F.col("m_legal"))
+    added = F.filter(F.array_except("m_words", "s.s1_words"), lambda t: t.isin(vocabulary or [""]))
+    x = x.where((F.size("m_street") > 0) & (X.jaccard(F.col("s.s1_street"), F.col("m_street")) >= least) & legal & (F.size(added) == 0))
+    return (x.where(F.col("s.s1_body") == F.col("m_body")) if body else x).select(F.col("s.s1_id").alias("s1_id"), "m_id")
+
+
+def group_rescue(s1: DataFrame, pool: DataFrame, owners: DataFrame, least: float = 0.5) -> DataFrame:
+    """m_id, from_id, s1_id, why: as `rescue`, also where several s1 rows share the key but one alone has the record's words and legal forms. from_id is the present owner (null: an addition)."""
+    a = s1.where("name_core <> ''").select(F.col("entity_id").alias("s1_id"), "country", "name_core", X.number_multiset(F.col("addr_text")).alias("nk"), X.street_words(F.col("addr_text")).alias("sa"), X.body(F.col("business_name")).alias("body_a"), X.raw_legal(F.col("business_name")).alias("legal_a"))
+    b = pool.where("name_core <> ''").select(F.col("entity_id").alias("m_id"), "country", "name_core", X.number_multiset(F.col("addr_text")).alias("nk"), X.street_words(F.col("addr_text")).alias("sb"), X.body(F.col("business_name")).alias("body_b"), X.raw_legal(F.col("business_name")).alias("legal_b")).where("size(nk) > 0")
+    near = b.join(a, ["country", "name_core", "nk"]).where((F.size("sb") > 0) & (X.jaccard(F.col("sa"), F.col("sb")) >= least))
+    same_body = F.col("body_a") == F.col("body_b")
+    loose = same_body & ((F.size("legal_a") == 0) | (F.size("legal_b") == 0) | (F.col("legal_a") == F.col("legal_b")))
+    strict = same_body & (F.col("legal_a") == F.col("legal_b"))
+    x = near.groupBy("m_id").agg(F.count("*").alias("n"), F.count(F.when(loose, 1)).alias("loose"), F.count(F.when(strict, 1)).alias("strict"), F.max(F.when(loose, F.col("s1_id"))).alias("one"), F.max(F.when(strict, F.col("s1_id"))).alias("alone"), F.max("body_b").alias("body_b"))
+    chosen = x.where("(n = 1 AND loose = 1) OR (n > 1 AND strict = 1)").select("m_id", F.when(F.col("n") == 1, F.col("one")).otherwise(F.col("alone")).alias("s1_id"), F.when(F.col("n") == 1, "unique").otherwise("group").alias("why"), "body_b")
+    held = chosen.join(owners.select("m_id", F.col("s1_id").alias("from_id")), "m_id", "left").where("from_id IS NULL OR from_id <> s1_id")
+    # a record moves only if its present owner's raw words differ
+    bodies = s1.select(F.col("entity_id").alias("from_id"), X.body(F.col("business_name")).alias("from_body"))
+    return held.join(bodies, "from_id", "left").where("from_id IS NULL OR from_body <> body_b").select("m_id", "from_id", "s1_id", "why")
+
+
+def floor_victims(s1: DataFrame, codes: list[str]) -> DataFrame:
+    """entity_id, true_state: s1 rows parsed as Florida because of a floor, whose address names another state code as a component."""
+    parts = F.transform(F.split(F.coalesce("business_address", F.lit("")), ","), lambda p: F.lower(F.trim(F.regexp_replace(p, "[0-9]+", ""))))
+    other = F.try_element_at(F.filter(parts, lambda p: p.isin(codes) & (p != "fl")), F.lit(-1))
+    return s1.where("addr_state = 'fl'").withColumn("true_state", other).where("true_state IS NOT NULL")
+
+
+def floor_rescue(victims: DataFrame, pool: DataFrame, least: float = 0.6, street: float = 0.5) -> DataFrame:
+    """s1_id, m_id: the one best victim (by words of the name) with the record's house numbers, a like street and its state or fl; ties give none."""
+    a = victims.select(F.col("entity_id").alias("s1_id"), "true_state", F.col("name_core").alias("na"), X.number_multiset(F.col("addr_text")).alias("nk"), X.street_words(F.col("addr_text")).alias("sa"))
+    b = pool.select(F.col("entity_id").alias("m_id"), "addr_state", F.col("name_core").alias("nb"), X.number_multiset(F.col("addr_text")).alias("nk"), X.street_words(F.col("addr_text")).alias("sb")).where("size(nk) > 0 AND nb <> ''")
+    x = b.join(a, "nk").where((F.col("addr_state") == F.col("true_state")) | (F.col("addr_state") == "fl")).where(X.jaccard(F.col("sa"), F.col("sb")) >= street)
+    x = x.withColumn("like", X.jaccard(X.tokens(F.col("na")), X.tokens(F.col("nb")))).where(F.col("like") >= least)
+    top = x.groupBy("m_id").agg(F.max("like").alias("best"))
+    return x.join(top, "m_id").where("like = best").groupBy("m_id").agg(F.count("*").alias("n"), F.min("s1_id").alias("s1_id")).where("n = 1").select("s1_id", "m_id")
+
+
+def weighted_street(pairs: DataFrame, s1: DataFrame, pool: DataFrame) -> DataFrame:
+    """s1_id, m_id, street: Jaccard of the street words, each with the weight ln(N / df) over the s1 addresses."""
+    words = lambda df, id_: df.select(F.col("entity_id").alias(id_), F.explode(X.street_words(F.col("addr_text"))).alias("word"))
+    n = s1.agg(F.count("*").alias("n"))
+    weight = words(s1, "id").groupBy("word").agg(F.count("*").alias("df")).join(F.broadcast(n)).select("word", F.log(F.col("n") / F.col("df")).alias("w"))
+    unseen = F.log("n")
+    long = pairs.select("s1_id", "m_id").join(words(s1, "s1_id"), "s1_id").withColumn("a", F.lit(1)).unionByName(pairs.select("s1_id", "m_id").join(words(pool, "m_id"), "m_id").withColumn("a", F.lit(0)).select("s1_id", "m_id", "word", "a"))
+    each_ = long.groupBy("s1_id", "m_id", "word").agg(F.count("*").alias("sides")).join(weight, "word", "left").join(F.broadcast(n)).withColumn("w", F.coalesce("w", unseen))
+    both = each_.groupBy("s1_id", "m_id").agg(F.sum(F.when(F.col("sides") == 2, F.col("w")).otherwise(0.0)).alias("hit"), F.sum("w").alias("all"))
+    return pairs.select("s1_id", "m_id").join(both, ["s1_id", "m_id"], "left").select("s1_id", "m_id", F.coalesce(F.when(F.col("all") > 0, F.col("hit") / F.col("all")), F.lit(0.0)).alias("street"))
+
+
+def tie_groups(s1: DataFrame, pool: DataFrame, most: int = 40) -> DataFrame:
+    """s1_id, m_id, n_s1, n_records: records without address and the 2 to `most` s1 of the country that share their name."""
+    names = s1.where("name_core <> ''").groupBy("country", "name_core").agg(F.count("*").alias("n_s1")).where((F.col("n_s1") >= 2) & (F.col("n_s1") <= most))
+    held = pool.where("addr_empty").select(F.col("entity_id").alias("m_id"), "country", "name_core").join(names, ["country", "name_core"])
+    x = held.join(s1.select(F.col("entity_id").alias("s1_id"), "country", "name_core"), ["country", "name_core"])
+    return x.join(held.groupBy("country", "name_core").agg(F.count("*").alias("n_records")), ["country", "name_core"]).select("s1_id", "m_id", "n_s1", "n_records")
+
+
+def empty_rival(s1: DataFrame, pool: DataFrame, owned: DataFrame) -> DataFrame:
+    """s1_id, m_id: for records without address whose name exactly two s1 share, the one of them that owns no record, if it is one alone."""
+    x = tie_groups(s1, pool).where("n_s1 = 2").join(owned.select("s1_id").distinct().withColumn("owns", F.lit(True)), "s1_id", "left")
+    return x.groupBy("m_id").agg(F.count(F.when(F.col("owns").isNull(), 1)).alias("empty"), F.min(F.when(F.col("owns").isNull(), F.col("s1_id"))).alias("s1_id")).where("empty = 1").select("s1_id", "m_id")

@@ -80,9 +80,26 @@ def prefix_f(p: np.ndarray, misses: float, block: int = 4096) -> np.ndarray:
 
 
 def entity_table(pairs: DataFrame, p: str = "p") -> DataFrame:
-    """What a model of 'has a match' sees of an s1."""
-    top = F.slice(F.sort_array(F.collect_list(p), asc=False), 1, 2)
-    return pairs.groupBy("s1_id").agg(F.count("*").alias("n"), F.max(p).alias("p1"), F.coalesce(F.try_element_at(top, F.lit(2)), F.lit(0.0)).alias("p2"), F.sum(p).alias("total"), F.avg(p).alias("mean"), F.count(F.when(F.col(p) >= 0.5, 1)).alias("n50"), F.count(F.when(F.col(p) >= 0.9, 1)).alias("n90"))
+    """What a model of 'has a match' sees of an s1; columns of further features, where there are any, by their largest value."""
+    ranked = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("s1_id").orderBy(F.desc(p), "m_id")))
+    further = [c for c in ("cos_comb", "cos_name", "cos_addr") if c in pairs.columns]
+    first = [c for c in ("s1_same_name", "f_num_share") if c in pairs.columns]
+    return ranked.groupBy("s1_id").agg(
+        F.count("*").alias("n"), F.max(p).alias("p1"), F.coalesce(F.max(F.when(F.col("_r") == 2, F.col(p))), F.lit(0.0)).alias("p2"), F.sum(p).alias("total"), F.avg(p).alias("mean"), F.count(F.when(F.col(p) >= 0.5, 1)).alias("n50"), F.count(F.when(F.col(p) >= 0.9, 1)).alias("n90"),
+        *[F.max(c).alias(f"{c}_max") for c in further], *[F.max(F.when(F.col("_r") == 1, F.col(c))).alias(f"{c}_top") for c in first],
+    )
+
+
+def expected_f_entity(pairs: DataFrame, p_match: DataFrame, misses: float = 0.05, p: str = "p") -> DataFrame:
+    """As `expected_f`, with the probability `p_match` that the s1 has a match at all (0.5 where it is not known) from a model of its own."""
+    order = Window.partitionBy("s1_id").orderBy(F.desc(p), "m_id")
+    run, whole = order.rowsBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("s1_id")
+    x = pairs.join(p_match.select("s1_id", F.col("p_match").alias("_m")), "s1_id", "left").withColumn("_m", F.coalesce("_m", F.lit(0.5))).withColumn("_c", F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6)))
+    some = F.least(F.greatest(1 - F.exp(F.sum(F.log(1 - F.col("_c"))).over(whole)), F.lit(1e-6)), F.lit(1.0))
+    x = x.withColumn("_q", F.least(F.col("_c") / some, F.lit(1.0))).withColumn("_k", F.row_number().over(order))
+    x = x.withColumn("_f", F.col("_m") * 1.25 * F.sum("_q").over(run) / (F.col("_k") + 0.25 * (F.sum("_q").over(whole) + misses)))
+    x = x.withColumn("_best", F.max("_f").over(whole)).withColumn("_stop", F.min(F.when(F.col("_f") == F.col("_best"), F.col("_k"))).over(whole))
+    return x.where("_best > 1 - _m AND _k <= _stop").select(*pairs.columns)
 
 
 def entity_f05(entities: DataFrame, predicted: DataFrame, truth: DataFrame) -> DataFrame:
@@ -111,53 +128,128 @@ def threshold_sweep(labelled: DataFrame, grid: list[float], p: str = "p", y: str
     return run.select("threshold", "n", "hits", F.when(F.col("n") > 0, F.col("hits") / F.col("n")).alias("precision"), (F.col("hits") / F.col("total")).alias("recall"))
 
 
-def saerens(scores: DataFrame, prior: float, p: str = "p", rounds: int = 50, tolerance: float = 1e-7) -> float:
-    """The share of matches in new scores, by expectation-maximisation; each round is one aggregation."""
-    now = prior
+def half_of(column: str = "s1_id") -> Column:
+    """0 or 1 for each entity, by a hash that DuckDB has as well."""
+    return F.conv(F.substring(F.md5(F.col(column).cast("string")), 1, 8), 16, 10).cast("long") % 2
+
+
+def halves_sweep(entities: DataFrame, scored: DataFrame, truth: DataFrame, grid: list[float]) -> DataFrame:
+    """threshold, half, macro_f05 of the one-owner pairs, for both halves of the entities: a choice on one half is confirmed on the other."""
+    steps = sorted(grid)
+    best = one_owner(scored).join(truth.select("s1_id", "m_id").distinct().withColumn("hit", F.lit(1)), ["s1_id", "m_id"], "left").withColumn("step", sum(((F.col("p") >= t).cast("int") for t in steps), F.lit(0)))
+    # counts by entity and band, then running sums over the few bands
+    bands = best.where("step > 0").groupBy("s1_id", "step").agg(F.count("*").alias("n"), F.count("hit").alias("hits"))
+    nt = truth.select("s1_id", "m_id").distinct().groupBy("s1_id").agg(F.count("*").alias("n_true"))
+    grid_df = F.broadcast(scored.sparkSession.createDataFrame(list(enumerate(steps, 1)), "at int, threshold double"))
+    # an entity has as many rows as thresholds
+    e = entities.select("s1_id").distinct().join(nt, "s1_id", "left").na.fill(0, ["n_true"]).withColumn("half", half_of()).join(grid_df)
+    x = e.join(bands, "s1_id", "left").groupBy("threshold", "half", "s1_id", "n_true").agg(F.coalesce(F.sum(F.when(F.col("step") >= F.col("at"), F.col("n"))), F.lit(0)).alias("n_pred"), F.coalesce(F.sum(F.when(F.col("step") >= F.col("at"), F.col("hits"))), F.lit(0)).alias("hits"))
+    return x.groupBy("threshold", "half").agg(F.avg(f05(F.col("hits"), F.col("n_pred"), F.col("n_true"))).alias("macro_f05"))
+
+
+def f05(hits: Column, n_pred: Column, n_true: Column) -> Column:
+    return F.when((n_pred == 0) & (n_true == 0), 1.0).when(hits == 0, 0.0).otherwise(1.25 * hits / (n_pred + 0.25 * n_true))
+
+
+def look_alikes(s1: DataFrame, pool: DataFrame, truth: DataFrame) -> DataFrame:
+    """s1_id, k: unmatched records with the state and core name of the s1."""
+    free = pool.join(truth.select(F.col("m_id").alias("entity_id")), "entity_id", "left_anti").groupBy("addr_state", "name_core").agg(F.count("*").alias("k"))
+    return s1.select("entity_id", "addr_state", "name_core").join(free, ["addr_state", "name_core"], "left").select(F.col("entity_id").alias("s1_id"), F.coalesce("k", F.lit(0)).alias("k"))
+
+
+def report(scores: DataFrame, entities: DataFrame) -> DataFrame:
+    """The macro F0.5 as it is, weighted by 2 to the power of the look-alikes (at most 3), of s1 with look-alikes, of s1 without and with matches, by country and over all.
+
+    scores: s1_id, n_true, f05; entities: s1_id, country, k.
+    """
+    w = F.pow(F.lit(2.0), F.least("k", F.lit(3)))
+    x = scores.join(entities, "s1_id").withColumn("w", w)
+    measures = [
+        F.avg("f05").alias("macro_f05"), (F.sum(F.col("f05") * F.col("w")) / F.sum("w")).alias("weighted_f05"), F.avg(F.when(F.col("k") >= 1, F.col("f05"))).alias("look_alike_f05"),
+        F.avg((F.col("k") >= 1).cast("double")).alias("look_alike_share"), F.avg(F.when(F.col("n_true") == 0, F.col("f05"))).alias("singleton_f05"), F.avg(F.when(F.col("n_true") > 0, F.col("f05"))).alias("matched_f05"), F.count("*").alias("entities"),
+    ]
+    return x.rollup("country").agg(*measures).withColumn("country", F.coalesce("country", F.lit("all")))
+
+
+def saerens(scores: DataFrame, prior: float, p: str = "p", rounds: int = 100, tolerance: float = 1e-7, bins: int = 10_000) -> float:
+    """The share of matches in new scores, by expectation-maximisation over a histogram of the scores: one pass, at most `bins` rows on the driver."""
+    q = F.least(F.greatest(F.col(p), F.lit(1e-9)), F.lit(1 - 1e-9))
+    held = scores.select(q.alias("q")).groupBy(F.floor(F.col("q") * bins)).agg(F.count("*").alias("n"), F.avg("q").alias("q")).select("q", "n").toPandas()
+    if not len(held):
+        return prior
+    x, n, now = held["q"].to_numpy(float), held["n"].to_numpy(float), prior
     for _ in range(rounds):
-        r = now / prior
-        q = F.col(p) * r / (F.col(p) * r + (1 - F.col(p)) * (1 - now) / (1 - prior))
-        new = scores.agg(F.avg(q).alias("q")).head()["q"]
-        if new is None or abs(new - now) < tolerance:
-            return now if new is None else new
+        r = (now / prior) / ((1 - now) / (1 - prior))
+        new = float(np.average(r * x / (r * x + 1 - x), weights=n))
+        # an end of the range would be no prior
+        new = min(max(new, 1e-9), 1 - 1e-9)
+        if abs(new - now) < tolerance:
+            return new
         now = new
     return now
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijective hash of 64-bit integers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniforms(keys: np.ndarray, draws: int, salt: int) -> np.ndarray:
+    """A number in [0, 1) for each key and draw, from the key alone."""
+    h = _mix(keys.astype(np.int64).view(np.uint64)[:, None] + _mix(np.arange(1, draws + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt)))
+    return (h >> np.uint64(11)).astype(np.float64) / (1 << 53)
+
+
+def poissons(u: np.ndarray, mean: float) -> np.ndarray:
+    """The Poisson numbers with these ranks."""
+    k = np.arange(1, 200)
+    law = np.cumsum(np.exp(np.concatenate([[-mean], -mean + np.cumsum(np.log(mean / k))]))) if mean > 0 else np.ones(1)
+    return np.minimum(np.searchsorted(law, u, side="right"), len(law))
+
+
 def bootstrap_gain(gains: DataFrame, draws: int = 200, seed: int = 1) -> DataFrame:
     """Mean gain per s1 with a 95 % interval by Poisson bootstrap: one pass, each row weighted in every draw by a hash of its id."""
     def draw(batches):
         s = np.zeros((draws, 2))
         for pdf in batches:
-            for i, g in zip(pdf["s1_id"], pdf["gain"]):
-                w = np.random.default_rng([seed, hash_id(i)]).poisson(1.0, draws)
-                s[:, 0] += w * g
-                s[:, 1] += w
+            w = poissons(uniforms(pdf["h"].to_numpy(), draws, seed), 1.0)
+            s[:, 0] += pdf["gain"].to_numpy(float) @ w
+            s[:, 1] += w.sum(axis=0)
         yield pd.DataFrame({"draw": np.arange(draws), "total": s[:, 0], "weight": s[:, 1]})
 
-    sums = gains.select(F.col("s1_id").cast("string").alias("s1_id"), "gain").mapInPandas(draw, "draw int, total double, weight double").groupBy("draw").agg((F.sum("total") / F.sum("weight")).alias("mean"))
+    sums = gains.select(F.xxhash64("s1_id").alias("h"), F.col("gain").cast("double")).mapInPandas(draw, "draw int, total double, weight double").groupBy("draw").agg(F.try_divide(F.sum("total"), F.sum("weight")).alias("mean"))
     return sums.agg(F.avg("mean").alias("mean"), F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
 
 
-def hash_id(i: str) -> int:
-    import zlib
+def monte_carlo_f(pairs: DataFrame, misses: float, draws: int = 100, seed: int = 1, rows: int = 100_000) -> DataFrame:
+    """Expected F0.5 of each s1's predicted pairs (column `predicted`) when each pair is true with probability p and missed pairs are Poisson.
 
-    return zlib.crc32(str(i).encode())
+    Give all scored pairs: those that are not predicted are misses where they are true. An empty prediction scores 1
+    where nothing is true. Every draw of a pair comes from a hash of its ids, so the pairs of an s1 are cut into parts
+    of about `rows`, whose counts are added: no task holds a hot s1.
+    """
+    sizes = pairs.groupBy("s1_id").agg(F.ceil(F.count("*") / rows).cast("int").alias("parts"))
+    x = pairs.join(sizes, "s1_id").select("s1_id", F.xxhash64("s1_id").alias("g"), F.xxhash64("s1_id", "m_id").alias("h"), F.pmod(F.xxhash64("m_id"), F.col("parts")).alias("part"), F.col("p").cast("double").alias("p"), "predicted")
 
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        true = uniforms(pdf["h"].to_numpy(), draws, seed) < pdf["p"].to_numpy(float)[:, None]
+        chosen = pdf["predicted"].to_numpy(bool)
+        return pd.DataFrame({"s1_id": pdf["s1_id"].iloc[:1], "g": pdf["g"].iloc[:1], "n": [int(chosen.sum())], "hits": [true[chosen].sum(axis=0).tolist()], "true": [true.sum(axis=0).tolist()]})
 
-def monte_carlo_f(pairs: DataFrame, misses: float, draws: int = 100, seed: int = 1) -> DataFrame:
-    """Expected F0.5 of each s1's predicted pairs (column `predicted`) when each pair is true with probability p and missed pairs are Poisson.
+    kind = pairs.schema["s1_id"].dataType.simpleString()
+    counted = x.groupBy("s1_id", "part").applyInPandas(count, f"s1_id {kind}, g long, n long, hits array<long>, true array<long>")
+    added = lambda c: F.aggregate(F.collect_list(c), F.array_repeat(F.lit(0).cast("long"), draws), lambda s, v: F.zip_with(s, v, lambda i, j: i + j))
+    # as many arrays an s1 as it has parts
+    total = counted.groupBy("s1_id").agg(F.first("g").alias("g"), F.sum("n").alias("n"), added("hits").alias("hits"), added("true").alias("true"))
 
-    Give all scored pairs: those that are not predicted are misses where they are true. An empty prediction scores 1 where nothing is true.
-    """
-    def simulate(pdf: pd.DataFrame) -> pd.DataFrame:
-        rng = np.random.default_rng([seed, hash_id(pdf["s1_id"].iloc[0])])
-        p, chosen, f = pdf["p"].to_numpy(float), pdf["predicted"].to_numpy(bool), np.zeros(draws)
-        n = int(chosen.sum())
-        for i in range(draws):
-            true = rng.random(len(p)) < p
-            hits, all_true = int((true & chosen).sum()), int(true.sum()) + rng.poisson(misses)
-            f[i] = float(n == 0) if all_true == 0 else 1.25 * hits / (n + 0.25 * all_true)
-        return pd.DataFrame({"s1_id": [pdf["s1_id"].iloc[0]], "f05": [f.mean()]})
-
-    return pairs.select("s1_id", "p", "predicted").groupBy("s1_id").applyInPandas(simulate, pairs.select("s1_id", F.lit(0.0).alias("f05")).schema)
+    def score(batches):
+        for pdf in batches:
+            hits, n = (np.stack(pdf[c].to_numpy()) if len(pdf) else np.zeros((0, draws)) for c in ("hits", "true")), pdf["n"].to_numpy(float)[:, None]
+            hits, true = hits
+            every = true + poissons(uniforms(pdf["g"].to_numpy(), draws, seed + 1), misses)
+            f = np.where(every == 0, (n == 0).astype(float), 1.25 * hits / np.maximum(n + 0.25 * every, 1e-12))
+            yield pd.DataFrame({"s1_id": pdf["s1_id"], "f05": f.mean(axis=1)})
+
+    return total.mapInPandas(score, f"s1_id {kind}, f05 double")

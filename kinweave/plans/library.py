@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,28 +14,15 @@ from kinweave.operators import decoy as J
 from kinweave.operators import learn as L
 from kinweave.operators import overlay as O
 from kinweave.operators import pairs as P
+from kinweave.plans import records as T
+from kinweave.plans.registry import CLEAN_SQL, ORACLE_SQL, QUERIES, big, query, rounded  # noqa: F401
 from kinweave.sources import files as S
 from kinweave.sources.tables import table
+from kinweave.staging import stage
 from kinweave.streaming import events as E
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 #: Scored pairs from lineitem: suppliers as entities, parts as records, the largest quantity as score.
 PAIRS_SQL = "p AS (SELECT l_suppkey AS s1_id, l_partkey AS m_id, max(l_quantity) / 51.0 AS p, CAST(max(l_discount) > 0.06 AS INTEGER) AS y, min(l_returnflag) AS grp FROM lineitem GROUP BY 1, 2)"
-CLEAN_SQL = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '[&+]', ' and ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
 
 def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("s1_id"), F.col("l_partkey").alias("m_id")).agg(
@@ -45,14 +30,6 @@ def scored_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
-def big(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("bigint") for c in columns})
-
-
 # text
 
 @query(f"SELECT doc_id, {CLEAN_SQL.format('text')} AS cleaned FROM documents")
@@ -68,17 +45,11 @@ def name_keys(spark, d):
     return table(spark, d, "part").select("p_partkey", X.concat_key(c).alias("concat_key"), X.acronym(c).alias("acronym"))
 
 
-@query()
-def name_variants(spark, d):
-    """Phonetic key, de-leeted form, core, legal family, alternatives of part and customer names."""
-    names = table(spark, d, "part").select("p_name").unionByName(table(spark, d, "customer").select(F.col("c_name").alias("p_name"))).distinct()
-    c = X.clean(X.strip_tags(F.col("p_name")))
-    return names.select("p_name", X.phonetic(c).alias("phonetic"), X.de_leet(c).alias("plain"), X.name_core(c).alias("core"), X.legal_family(c).alias("family"), F.array_join(X.alternatives(F.col("p_name")), "|").alias("alternatives"), X.non_latin(F.col("p_name")).alias("non_latin"), K.folded("p_name").alias("folded"))
-
-
-@query(r"SELECT page_id, trim(replace(regexp_extract(lower(coalesce(url, '')), '(?:https?://)?(?:www\.)?([a-z0-9][a-z0-9-]*)(?:\.[a-z0-9-]+)*\.[a-z]{2,}', 1), '-', ' ')) AS words FROM pages")
+@query(r"SELECT page_id, replace(regexp_extract(regexp_extract(lower(coalesce(url, '')), '^[a-z]+://([^/]+)', 1), '^(?:https?://)?(?:www\.)?([a-z0-9][a-z0-9\-]{2,})\.(?:com|net|org|co\.in|in|co|biz|fr|io|info|us)/?$', 1), '-', ' ') AS words, words <> '' AS is_domain FROM pages")
 def domain_key(spark, d):
-    return table(spark, d, "pages").select("page_id", X.domain_words(F.col("url")).alias("words"))
+    """The names that the hosts of pages hold, and whether they hold one."""
+    host = F.regexp_extract(F.lower(F.coalesce("url", F.lit(""))), "^[a-z]+://([^/]+)", 1)
+    return table(spark, d, "pages").select("page_id", X.domain_words(host).alias("words"), X.is_domain(host).alias("is_domain"))
 
 
 @query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9]+'), lambda x: len(x) <= 7), lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)))), ' ') AS nums,
@@ -87,7 +58,7 @@ def number_sets(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(X.numbers(F.col("text")), " ").alias("nums"), F.array_join(X.number_multiset(F.col("text")).cast("array<string>"), " ").alias("multiset"))
 
 
-@query(f"SELECT page_id, array_to_string(list_sort(list_filter(list_transform(string_split({CLEAN_SQL.format('url')}, ' '), lambda t: CASE WHEN ltrim(t, '0') = '' AND t <> '' THEN '0' ELSE ltrim(t, '0') END), lambda t: t <> '')), ' ') AS key FROM pages")
+@query(f"SELECT page_id, array_to_string(list_sort(list_filter(list_transform(string_split({CLEAN_SQL.format('url')}, ' '), lambda t: ltrim(t, '0')), lambda t: t <> '')), ' ') AS key FROM pages")
 def order_free_key(spark, d):
     return table(spark, d, "pages").select("page_id", X.order_free(X.clean(F.col("url"))).alias("key"))
 
@@ -102,7 +73,9 @@ def word_to_lang(spark, d):
     return g.where((F.col("total") >= 20) & (F.col("top") >= F.col("total") * 0.97)).select("word", "says", "total")
 
 
-@query()
+@query(f"""WITH w AS (SELECT DISTINCT doc_id, unnest(string_split({CLEAN_SQL.format('text')}, ' ')) AS word, lang FROM documents), s AS (SELECT word, lang, count(*) AS n FROM w WHERE lang IS NOT NULL AND lang <> '' AND word <> '' GROUP BY ALL),
+    g AS (SELECT word, sum(n) AS total, max(n) AS top, arg_max(lang, (n, lang)) AS says FROM s GROUP BY word HAVING total >= 20 AND top >= total * 0.97), v AS (SELECT doc_id AS id, says, count(*) AS n FROM w JOIN g USING (word) WHERE lang IS NULL OR lang = '' GROUP BY ALL)
+    SELECT id, arg_max(says, (n, says)) AS inferred FROM v GROUP BY id HAVING max(n) >= sum(n) * 0.8""")
 def inferred_lang(spark, d):
     """Languages inferred for documents that have none; learned from the others."""
     docs = table(spark, d, "documents")
@@ -113,56 +86,50 @@ def inferred_lang(spark, d):
 
 _TOK = lambda t, i, x: f"SELECT {i} AS id, unnest(string_split({CLEAN_SQL.format(x)}, ' ')) AS gram FROM {t}"
 _TFIDF = f"""WITH ga AS (SELECT id, gram, count(*) AS tf FROM ({_TOK('benchmark', 'item_id', 'text')}) WHERE gram <> '' GROUP BY ALL), gb AS (SELECT id, gram, count(*) AS tf FROM ({_TOK('documents', 'doc_id', 'text')}) WHERE gram <> '' GROUP BY ALL),
-    n AS (SELECT (SELECT count(*) FROM benchmark) + (SELECT count(*) FROM documents) AS n), i AS (SELECT gram, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT gram, count(*) AS df FROM (SELECT gram FROM ga UNION ALL SELECT gram FROM gb) GROUP BY gram), n WHERE df >= 2 AND df <= n * 0.02),
-    ra AS (SELECT id, gram, (1 + ln(tf)) * idf AS w FROM ga JOIN i USING (gram)), rb AS (SELECT id, gram, (1 + ln(tf)) * idf AS w FROM gb JOIN i USING (gram)),
+    n AS (SELECT (SELECT count(*) FROM benchmark) + (SELECT count(*) FROM documents) AS n), i AS (SELECT gram, df, n, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT gram, count(*) AS df FROM (SELECT gram FROM ga UNION ALL SELECT gram FROM gb) GROUP BY gram), n WHERE df >= 2),
+    ra AS (SELECT id, gram, (1 + ln(tf)) * idf AS w, df <= n * 0.02 AS rare FROM ga JOIN i USING (gram)), rb AS (SELECT id, gram, (1 + ln(tf)) * idf AS w, df <= n * 0.02 AS rare FROM gb JOIN i USING (gram)),
+    pa AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM ra WHERE rare), pb AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM rb WHERE rare),
     wa AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM ra), wb AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM rb),
-    c AS (SELECT wa.id AS s1_id, wb.id AS m_id, round(sum(wa.w * wb.w), 6) AS cos FROM wa JOIN wb USING (gram) GROUP BY ALL)"""
+    sc AS (SELECT pa.id AS s1_id, pb.id AS m_id, round(sum(pa.w * pb.w), 6) AS cos FROM pa JOIN pb USING (gram) GROUP BY ALL), fo AS (SELECT s1_id, m_id, 1 AS bit FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY cos DESC, m_id) AS r FROM sc WHERE cos > 0) WHERE r <= 15), ba AS (SELECT s1_id, m_id, 32 AS bit FROM (SELECT *, row_number() OVER (PARTITION BY m_id ORDER BY cos DESC, s1_id) AS r FROM sc WHERE cos > 0) WHERE r <= 3),
+    fd AS (SELECT s1_id, m_id, bit_or(bit) AS via FROM (SELECT * FROM fo UNION ALL SELECT * FROM ba) GROUP BY ALL), c AS (SELECT s1_id, m_id, via, round(sum(wa.w * wb.w), 6) AS cos FROM fd JOIN wa ON wa.id = s1_id JOIN wb ON wb.id = m_id AND wb.gram = wa.gram GROUP BY ALL)"""
 
 
-def benchmark_vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """TF-IDF word vectors of benchmark items (s1) and documents (pool)."""
+def benchmark_vectors(spark: SparkSession, d: str) -> list[tuple[DataFrame, DataFrame]]:
+    """TF-IDF word vectors of benchmark items (s1) and documents (pool): without common words for the search, and whole."""
     a, b = table(spark, d, "benchmark"), table(spark, d, "documents")
     ga, gb = B.grams(a, "item_id", X.tokens(X.clean(F.col("text")))), B.grams(b, "doc_id", X.tokens(X.clean(F.col("text"))))
-    weights = B.idf(ga.unionByName(gb), a.count() + b.count(), max_share=0.02)
-    return B.weights(ga, weights), B.weights(gb, weights)
+    n = a.count() + b.count()
+    return [tuple(B.weights(g, B.idf(ga.unionByName(gb), n, max_share=share)) for g in (ga, gb)) for share in (0.02, 1.0)]
 
 
-def benchmark_cosines(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(B.cosines(*benchmark_vectors(spark, d)), "cos")
+def benchmark_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """s1_id, m_id, via, cos: found in both directions on the vectors without common words, scored on the whole ones."""
+    searched, whole = benchmark_vectors(spark, d)
+    c, _ = stage(rounded(B.cosines(*searched), "cos"), "searched")
+    found = B.union_paths([(B.top_k(c, "s1_id", "m_id", 15), B.BITS["name"]), (B.top_k(c, "m_id", "s1_id", 3), B.BITS["rev"])]).drop("cos")
+    return rounded(B.rescore(found, *whole), "cos")
 
 
-@query(_TFIDF + " SELECT s1_id, m_id, cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY cos DESC, m_id) AS rank FROM c WHERE cos > 0) WHERE rank <= 15")
+@query(_TFIDF + " SELECT s1_id, m_id, cos, rank FROM (SELECT s1_id, m_id, cos, row_number() OVER (PARTITION BY s1_id ORDER BY cos DESC, m_id) AS rank FROM c WHERE via & 1 = 1 AND cos > 0) WHERE rank <= 15")
 def tfidf_top_k(spark, d):
     """Each benchmark item's 15 nearest documents by word TF-IDF."""
-    return big(B.top_k(benchmark_cosines(spark, d), "s1_id", "m_id", 15), "rank")
+    found = benchmark_candidates(spark, d).where(F.col("via").bitwiseAND(F.lit(1)) == 1).drop("via")
+    return big(B.top_k(found, "s1_id", "m_id", 15), "rank")
 
 
-@query(_TFIDF + ", f AS (SELECT s1_id, m_id, cos, 1 AS bit FROM (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY cos DESC, m_id) AS r FROM c WHERE cos > 0) WHERE r <= 15 UNION ALL SELECT s1_id, m_id, cos, 32 FROM (SELECT *, row_number() OVER (PARTITION BY m_id ORDER BY cos DESC, s1_id) AS r FROM c WHERE cos > 0) WHERE r <= 3) SELECT s1_id, m_id, bit_or(bit) AS via, max(cos) AS cos FROM f GROUP BY ALL")
+@query(_TFIDF + " SELECT s1_id, m_id, via, cos FROM c")
 def via_union(spark, d):
     """Both directions of search, united by path bits."""
-    c = benchmark_cosines(spark, d)
-    return B.union_paths([(B.top_k(c, "s1_id", "m_id", 15), P.PATHS["name"]), (B.top_k(c, "m_id", "s1_id", 3), P.PATHS["rev"])])
+    return benchmark_candidates(spark, d)
 
 
-@query(_TFIDF + ", o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m_id ORDER BY cos DESC, s1_id) AS r FROM c WHERE cos >= 0.3) WHERE r = 1), l AS (SELECT s1_id, string_agg(CAST(m_id AS VARCHAR), ',' ORDER BY CAST(m_id AS VARCHAR)) AS x FROM o GROUP BY s1_id) SELECT item_id AS s1_id, coalesce(x, '') AS matched_entity_ids FROM benchmark LEFT JOIN l ON item_id = s1_id")
-def linkage_pipeline(spark, d):
+@query(_TFIDF + ", o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY m_id ORDER BY cos DESC, s1_id) AS r FROM c) WHERE r = 1 AND cos >= 0.3), l AS (SELECT s1_id, string_agg(CAST(m_id AS VARCHAR), ',' ORDER BY CAST(m_id AS VARCHAR)) AS x FROM o GROUP BY s1_id) SELECT item_id AS s1_id, coalesce(x, '') AS matched_entity_ids FROM benchmark LEFT JOIN l ON item_id = s1_id")
+def text_linkage(spark, d):
     """From texts to match lists: vectors, search, one owner a record, a threshold, a list for every item."""
-    kept = D.above(D.one_owner(benchmark_cosines(spark, d), "cos"), 0.3, p="cos")
+    kept = D.above(D.one_owner(benchmark_candidates(spark, d), "cos"), 0.3, p="cos")
     return S.lists_per_entity(table(spark, d, "benchmark").select(F.col("item_id").alias("s1_id")), kept.withColumn("m_id", F.col("m_id").cast("string")))
 
 
-@query()
-def char_gram_top_k(spark, d):
-    """Part names against customer and supplier names by character 3-grams, pruned for the search, rescored on full vectors."""
-    parts = table(spark, d, "part").select(F.col("p_name").alias("n")).distinct()
-    others = table(spark, d, "customer").select(F.col("c_name").alias("n")).unionByName(table(spark, d, "supplier").select(F.col("s_name").alias("n"))).unionByName(parts).distinct()
-    g = [B.grams(x, "n", X.char_grams(F.concat(F.lit(" "), X.clean(F.col("n")), F.lit(" ")))) for x in (parts, others)]
-    w = B.idf(g[0].unionByName(g[1]), parts.count() + others.count())
-    a, b = B.weights(g[0], w), B.weights(g[1], w)
-    found = B.top_k(B.cosines(B.prune_for_search(a, b), B.prune_for_search(b, b)), "s1_id", "m_id", 5)
-    return rounded(B.rescore(found.select("s1_id", "m_id"), a, b), "cos")
-
-
 @query("""WITH a AS (SELECT c_nationkey AS k FROM customer GROUP BY 1 HAVING count(*) <= 70), b AS (SELECT s_nationkey AS k FROM supplier GROUP BY 1 HAVING count(*) <= 5)
     SELECT c_custkey AS s1_id, s_suppkey AS m_id, c_nationkey AS k FROM customer JOIN supplier ON c_nationkey = s_nationkey WHERE c_nationkey IN (SELECT k FROM a) AND c_nationkey IN (SELECT k FROM b)""")
 def capped_join(spark, d):
@@ -178,15 +145,14 @@ def unique_key(spark, d):
 
 
 @query("""WITH v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings), n AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_sum(list_transform(e, lambda y: y * y)))) AS v FROM v),
-    c AS (SELECT a.vec_id AS m_id, b.vec_id AS s1_id, round(list_dot_product(a.v, b.v), 5) AS cos FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT s1_id, m_id, cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY m_id ORDER BY cos DESC, s1_id) AS rank FROM c) WHERE rank <= 5""")
+    c AS (SELECT a.vec_id AS m_id, b.vec_id AS s1_id, round(list_dot_product(a.v, b.v), 12) AS cos FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id) SELECT s1_id, m_id, round(cos, 5) AS cos, rank FROM (SELECT *, row_number() OVER (PARTITION BY m_id ORDER BY cos DESC, s1_id) AS rank FROM c) WHERE rank <= 5""")
 def dense_top_k(spark, d):
     """Each vector's five nearest of the same label by cosine, exactly."""
     e = F.col("embedding").cast("array<double>")
     norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x))
     v = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("part"), F.transform(e, lambda x: x / norm).alias("v"))
-    dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    pairs = v.select(F.col("vec_id").alias("m_id"), "part", F.col("v").alias("vb")).join(v.select(F.col("vec_id").alias("s1_id"), "part", F.col("v").alias("va")), "part").where("m_id <> s1_id")
-    return big(B.top_k(pairs.select("s1_id", "m_id", F.round(dot, 5).alias("cos")), "m_id", "s1_id", 5, least=-2.0), "rank")
+    found = B.dense_top_k(v.withColumnRenamed("vec_id", "m_id"), v.withColumnRenamed("vec_id", "s1_id"), 5)
+    return big(rounded(found, "cos", digits=5), "rank")
 
 
 # pair features
@@ -198,14 +164,12 @@ def token_idf(spark, d):
 
 
 def name_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of nations and of distinct part names of one brand and size."""
-    n = table(spark, d, "nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("k"))
-    p = table(spark, d, "part").select(F.col("p_name").alias("name"), F.concat_ws("/", "p_brand", "p_size").alias("k"))
-    x = n.unionByName(p).distinct()
-    return x.select(F.col("name").alias("a"), "k").join(x.select(F.col("name").alias("b"), "k"), "k").where("a < b").select("a", "b").distinct()
+    """The distinct pairs of raw names of candidate pairs, in lower case."""
+    a, b = (raw(spark, d).select(F.col("entity_id").alias(i), F.lower("business_name").alias(n)) for raw, i, n in ((T.raw_s1, "s1_id", "a"), (T.raw_pool, "m_id", "b")))
+    return T.candidates(spark, d).join(a, "s1_id").join(b, "m_id").select("a", "b").distinct()
 
 
-_NAME_PAIRS = "x AS (SELECT n_name AS name, CAST(n_regionkey AS VARCHAR) AS k FROM nation UNION SELECT p_name, p_brand || '/' || p_size FROM part), q AS (SELECT DISTINCT s.name AS a, t.name AS b FROM x s JOIN x t ON s.k = t.k AND s.name < t.name)"
+_NAME_PAIRS = f"{T.RAW_CTE}, {T.PAIRS_CTE}, q AS (SELECT DISTINCT lower(x.business_name) AS a, lower(y.business_name) AS b FROM pairs JOIN raw_s1 x ON x.entity_id = s1_id JOIN raw_pool y ON y.entity_id = m_id)"
 
 
 @query(f"WITH {_NAME_PAIRS} SELECT a, b, CAST(levenshtein(a, b) AS BIGINT) AS lev, round(jaro_winkler_similarity(a, b), 9) AS jw, CAST(damerau_levenshtein(a, b) AS BIGINT) AS dam FROM q")
@@ -213,71 +177,42 @@ def edit_distances(spark, d):
     return rounded(big(name_pairs(spark, d).select("a", "b", F.levenshtein("a", "b").alias("lev"), K.winkler("a", "b").alias("jw"), K.swaps("a", "b").alias("dam")), "lev", "dam"), "jw", digits=9)
 
 
-@query()
-def name_features(spark, d):
-    """All name similarities and edit signatures of the pairs."""
-    a, b = F.col("a"), F.col("b")
-    return name_pairs(spark, d).select("a", "b", *[c.alias(k) for k, c in (P.name_similarities(X.clean(a), X.clean(b)) | P.edit_signature(a, b) | P.legal_features(X.clean(a), X.clean(b))).items()], K.monge("a", "b").alias("monge"), J.name_relation(X.clean(a), X.clean(b)).alias("relation"))
-
-
-_NUM = "list_distinct(list_transform(list_filter(regexp_extract_all(coalesce({0}, ''), '[0-9]+'), lambda x: len(x) <= 7), lambda x: CAST(CAST(x AS INTEGER) AS VARCHAR)))"
-
-
-@query(f"""WITH d AS (SELECT doc_id, source, lang, {_NUM.format('text')} AS n FROM documents WHERE regexp_matches(text, '[0-9]')), q AS (SELECT a.doc_id AS a_id, b.doc_id AS b_id, a.n AS a, b.n AS b FROM d a JOIN d b ON a.source = b.source AND a.lang = b.lang AND a.doc_id < b.doc_id)
-    SELECT a_id, b_id, round(CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END, 9) AS num_jaccard, CAST(len(list_intersect(a, b)) > 0 AS INTEGER) AS num_share, CAST(len(a) > 0 AND len(b) > 0 AND len(list_intersect(a, b)) = 0 AS INTEGER) AS num_conflict, CAST(len(a) = 0 OR len(b) = 0 AS INTEGER) AS num_missing FROM q""")
-def number_features(spark, d):
-    docs = table(spark, d, "documents").where(F.col("text").rlike("[0-9]")).select("doc_id", "source", "lang", X.numbers(F.col("text")).alias("n"))
-    q = docs.select(F.col("doc_id").alias("a_id"), "source", "lang", F.col("n").alias("a")).join(docs.select(F.col("doc_id").alias("b_id"), "source", "lang", F.col("n").alias("b")), ["source", "lang"]).where("a_id < b_id")
-    f = P.number_set_features(F.col("a"), F.col("b"))
-    return rounded(q.select("a_id", "b_id", *[f[k].alias(k) for k in ("num_jaccard", "num_share", "num_conflict", "num_missing")]), "num_jaccard", digits=9)
-
-
-@query("""WITH q AS (SELECT DISTINCT a.l_orderkey AS k, CAST(a.l_quantity AS INTEGER) AS x, CAST(b.l_quantity AS INTEGER) AS y FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber)
-    SELECT k, x, y, CASE WHEN x = y THEN 'eq' WHEN y - x IN (1, 2, 3, 4, 5, 7, 9, 11, 13, 21) THEN 'shift' WHEN y - x BETWEEN -21 AND -1 THEN 'neg_small' WHEN abs(y - x) <= 100 THEN 'near_other' ELSE 'far' END AS relation FROM q""")
-def number_relations(spark, d):
-    """The class of the relation of two quantities of one order."""
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
-    q = li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), F.col("q").alias("x")).join(li.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("j"), F.col("q").alias("y")), "k").where("i < j").select("k", "x", "y").distinct()
-    return q.select("k", "x", "y", J.number_relation(F.array("x"), F.array("y")).alias("relation"))
-
-
-@query()
-def shift_and_house_numbers(spark, d):
-    """Signed shifts and digit relations of the quantities of an order."""
-    q = number_relations(spark, d)
-    return q.select("k", "x", "y", *[c.alias(n) for n, c in P.shift_features(F.array("x"), F.array("y")).items()], K.numbers_relate(F.col("x").cast("string"), F.col("y").cast("string")).alias("digits"))
-
-
 _PAIRTOK = f"ta AS (SELECT DISTINCT id, gram FROM ({_TOK('benchmark', 'item_id', 'text')}) WHERE gram <> ''), tb AS (SELECT DISTINCT id, gram FROM ({_TOK('documents', 'doc_id', 'text')}) WHERE gram <> '')"
 
 
-@query(f"""WITH {_PAIRTOK}, i AS (SELECT gram, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf FROM tb GROUP BY gram), wa AS (SELECT id, sum(idf) AS w FROM ta JOIN i USING (gram) GROUP BY id), wb AS (SELECT id, sum(idf) AS w FROM tb JOIN i USING (gram) GROUP BY id),
-    s AS (SELECT ta.id AS s1_id, tb.id AS m_id, sum(idf) AS hit, max(idf) AS max_idf, count(*) AS n_shared FROM ta JOIN tb USING (gram) JOIN i USING (gram) GROUP BY ALL)
-    SELECT s1_id, m_id, round(hit / (wa.w + wb.w - hit), 6) AS idf_jaccard, round(max_idf, 6) AS max_idf, n_shared FROM s JOIN wa ON wa.id = s1_id JOIN wb ON wb.id = m_id""")
+@query(_TFIDF + f""", {_PAIRTOK}, ii AS (SELECT gram, ln(((SELECT count(*) FROM documents) + 1) / (count(*) + 1)) + 1 AS idf FROM tb GROUP BY gram), xa AS (SELECT id, sum(idf) AS w FROM ta JOIN ii USING (gram) GROUP BY id), xb AS (SELECT id, sum(idf) AS w FROM tb JOIN ii USING (gram) GROUP BY id),
+    s AS (SELECT s1_id, m_id, sum(idf) AS hit, max(idf) AS max_idf, count(*) AS n_shared FROM fd JOIN ta ON ta.id = s1_id JOIN tb ON tb.id = m_id AND tb.gram = ta.gram JOIN ii ON ii.gram = ta.gram GROUP BY ALL)
+    SELECT s1_id, m_id, round(hit / (xa.w + xb.w - hit), 6) AS idf_jaccard, round(max_idf, 6) AS max_idf, n_shared FROM s JOIN xa ON xa.id = s1_id JOIN xb ON xb.id = m_id""")
 def idf_jaccard(spark, d):
+    """Of the candidates that the search found."""
     a, b = table(spark, d, "benchmark"), table(spark, d, "documents")
-    ta = a.select(F.col("item_id").alias("id"), F.explode(F.array_distinct(X.tokens(X.clean(F.col("text"))))).alias("gram"))
-    tb = b.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(X.tokens(X.clean(F.col("text"))))).alias("gram"))
+    words = F.explode(F.array_distinct(X.tokens(X.clean(F.col("text"))))).alias("gram")
+    ta, tb = a.select(F.col("item_id").alias("id"), words), b.select(F.col("doc_id").alias("id"), words)
     idf = P.token_idf(b.select("doc_id", "text"), "doc_id", X.tokens(X.clean(F.col("text"))))
-    pairs = ta.select(F.col("id").alias("s1_id"), "gram").join(tb.select(F.col("id").alias("m_id"), "gram"), "gram").select("s1_id", "m_id").distinct()
-    return rounded(P.idf_jaccard(pairs, ta, tb, idf), "idf_jaccard", "max_idf")
+    return rounded(P.idf_jaccard(benchmark_candidates(spark, d), ta, tb, idf), "idf_jaccard", "max_idf")
 
 
 @query(f"""WITH gb AS (SELECT id, gram, count(*) AS tf FROM ({_TOK('documents', 'doc_id', 'text')}) WHERE gram <> '' GROUP BY ALL), ta AS (SELECT DISTINCT id, gram FROM ({_TOK('benchmark', 'item_id', 'text')}) WHERE gram <> ''), l AS (SELECT id, CAST(sum(tf) AS BIGINT) AS dl FROM gb GROUP BY id), s AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
-    t AS (SELECT gram, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(avgdl) AS avgdl FROM gb, s GROUP BY gram, n) SELECT ta.id AS q_id, gb.id AS d_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 5) AS score FROM ta JOIN t USING (gram) JOIN gb USING (gram) JOIN l ON l.id = gb.id GROUP BY ALL""")
+    t AS (SELECT gram, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf, any_value(avgdl) AS avgdl, count(*) <= n * 0.1 AS rare FROM gb, s GROUP BY gram, n), f AS (SELECT DISTINCT ta.id AS q_id, gb.id AS d_id FROM ta JOIN t USING (gram) JOIN gb USING (gram) WHERE rare),
+    x AS (SELECT q_id, d_id, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM f JOIN ta ON ta.id = q_id JOIN t USING (gram) JOIN gb ON gb.id = d_id AND gb.gram = ta.gram JOIN l ON l.id = d_id GROUP BY ALL)
+    SELECT q_id, d_id, round(score, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY score DESC, d_id) AS rank FROM x) WHERE rank <= 20""")
 def bm25(spark, d):
+    """The 20 best documents of each benchmark item."""
     a, b = table(spark, d, "benchmark"), table(spark, d, "documents")
     words = X.tokens(X.clean(F.col("text")))
     q = a.select(F.col("item_id").alias("id"), F.explode(F.array_distinct(words)).alias("gram"))
-    return rounded(P.bm25(q, B.grams(b, "doc_id", words).drop("part")), "score", digits=5)
+    return big(rounded(P.bm25(q, B.grams(b, "doc_id", words).drop("part"), 20), "score", digits=5), "rank")
 
 
-@query()
+@query(f"""WITH {_NAME_PAIRS.replace('lower(x.business_name) AS a, lower(y.business_name) AS b', CLEAN_SQL.format('x.business_name') + ' AS a, ' + CLEAN_SQL.format('y.business_name') + ' AS b')}, nm AS (SELECT DISTINCT a AS n FROM q UNION SELECT b FROM q), g AS (SELECT n AS id, gram, count(*) AS tf FROM (SELECT n, unnest(string_split(n, ' ')) AS gram FROM nm) GROUP BY ALL),
+    i AS (SELECT gram, ln((1 + (SELECT count(*) FROM nm)) / (1 + count(*))) + 1 AS idf FROM g GROUP BY gram), w AS (SELECT id, gram, (1 + ln(tf)) * idf AS w FROM g JOIN i USING (gram)), u AS (SELECT id, gram, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
+    b AS (SELECT q.a, q.b, x.gram, max((jaro_winkler_similarity(x.gram, y.gram), x.w * y.w)) AS t FROM q JOIN u x ON x.id = q.a JOIN u y ON y.id = q.b WHERE jaro_winkler_similarity(x.gram, y.gram) >= 0.9 GROUP BY ALL) SELECT a AS s1_id, b AS m_id, round(sum(t[1] * t[2]), 6) AS soft_tfidf FROM b GROUP BY a, b""")
 def soft_tfidf(spark, d):
-    """Soft TF-IDF of part names of one brand and size."""
-    pairs = name_pairs(spark, d).select(F.col("a").alias("s1_id"), F.col("b").alias("m_id"))
+    """Soft TF-IDF of the names of candidate pairs."""
+    a, b = (raw(spark, d).select(F.col("entity_id").alias(i), X.clean(F.col("business_name")).alias(n)) for raw, i, n in ((T.raw_s1, "e1", "s1_id"), (T.raw_pool, "e2", "m_id")))
+    pairs = T.candidates(spark, d).toDF("e1", "e2", "y").join(a, "e1").join(b, "e2").select("s1_id", "m_id").distinct()
     names = pairs.select(F.col("s1_id").alias("n")).union(pairs.select("m_id")).distinct()
-    g = B.grams(names, "n", X.tokens(X.clean(F.col("n"))))
+    g = B.grams(names, "n", X.tokens(F.col("n")))
     w = B.weights(g, B.idf(g, names.count(), min_df=1)).select("id", "gram", "w")
     return rounded(P.soft_tfidf(pairs, w, w), "soft_tfidf")
 
@@ -349,12 +284,18 @@ def bootstrap_gain(spark, d):
     return rounded(D.bootstrap_gain(p.groupBy("s1_id").agg((F.avg("y") - F.avg("p")).alias("gain"))), "mean", "low", "high")
 
 
+@query(f"""WITH {PAIRS_SQL} SELECT s1_id, m_id, round(p * 1.7 / (p * 1.7 + 1 - p), 6) AS shifted, round(ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6))), 6) AS logit, CAST(p >= 0.2 AS BIGINT) + CAST(p >= 0.5 AS BIGINT) + CAST(p >= 0.8 AS BIGINT) AS band FROM p""")
+def prior_odds(spark, d):
+    """Scores shifted to another prior, their logits and bands."""
+    return rounded(big(scored_pairs(spark, d).select("s1_id", "m_id", X.shift_prior(F.col("p"), 1.7).alias("shifted"), X.logit(F.col("p")).alias("logit"), X.band(F.col("p"), [0.2, 0.5, 0.8]).alias("band")), "band"), "shifted", "logit")
+
+
 @query()
 def prior_shift(spark, d):
     """The share of matches that expectation-maximisation finds, and the scores shifted to it."""
     p = scored_pairs(spark, d)
-    prior = D.saerens(p, 0.5)
-    return rounded(p.select("s1_id", "m_id", X.shift_prior(F.col("p"), prior / 0.5).alias("shifted"), X.logit(F.col("p")).alias("logit"), X.band(F.col("p"), [0.2, 0.5, 0.8]).alias("band")), "shifted", "logit")
+    prior = D.saerens(p, 0.6)
+    return rounded(p.select("s1_id", "m_id", X.shift_prior(F.col("p"), prior / 0.6 / ((1 - prior) / 0.4)).alias("shifted"), F.lit(prior).alias("prior")), "shifted", "prior")
 
 
 # collective evidence and decoys
@@ -365,12 +306,19 @@ def blended(spark, d):
     return rounded(C.blend(p.where("p >= 0.5"), p.where("y = 1").withColumn("p", F.col("y") * 0.9), 0.7), "p", digits=9)
 
 
-@query()
+_SIM = "len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w)))"
+
+
+@query(f"""WITH {PAIRS_SQL}, x AS (SELECT s1_id, m_id, p, substr(CAST(m_id AS VARCHAR), 1, 2) AS src, p_name, list_distinct(string_split(p_name, ' ')) AS w FROM p JOIN part ON p_partkey = m_id), v AS (SELECT s1_id, p_name, any_value(w) AS w FROM x GROUP BY ALL),
+    k AS (SELECT a.s1_id, a.p_name AS na, b.p_name AS nb, {_SIM} AS sim FROM v a JOIN v b USING (s1_id)), g AS (SELECT a.s1_id, a.m_id, count(*) AS sib_n, max(sim) AS sib_best, max(sim * b.p) AS sib_weighted, count(CASE WHEN a.src = b.src THEN 1 END) AS sib_same FROM x a JOIN x b ON a.s1_id = b.s1_id AND a.m_id <> b.m_id AND b.p >= 0.5 JOIN k ON k.s1_id = a.s1_id AND na = a.p_name AND nb = b.p_name GROUP BY ALL),
+    h AS (SELECT a.s1_id, a.m_id, count(*) AS n, sum(sim * b.p) AS kp, max(sim) AS mx, avg(sim) AS mn, count(CASE WHEN sim < 0.5 THEN 1 END) AS con FROM x a JOIN x b ON a.s1_id = b.s1_id AND a.m_id <> b.m_id AND b.p >= 0.9 JOIN k ON k.s1_id = a.s1_id AND na = a.p_name AND nb = b.p_name GROUP BY ALL)
+    SELECT x.s1_id, CAST(x.m_id AS VARCHAR) AS m_id, x.p, coalesce(sib_n, 0) AS sib_n, round(coalesce(sib_best, -1.0), 6) AS sib_best, round(coalesce(sib_weighted, -1.0), 6) AS sib_weighted, coalesce(sib_same, 0) AS sib_same_source, round(coalesce(kp / (n + 1), 0.0), 6) AS support, round(coalesce(mx, 0.0), 6) AS support_max, round(coalesce(mn, 0.0), 6) AS support_mean, coalesce(con, 0) AS contradictions FROM x LEFT JOIN g USING (s1_id, m_id) LEFT JOIN h USING (s1_id, m_id)""")
 def sibling_support(spark, d):
     """Sibling and peer features of parts that one supplier delivers, by their names."""
     pairs = scored_pairs(spark, d).join(table(spark, d, "part").select(F.col("p_partkey").alias("m_id"), F.col("p_name").alias("name")), "m_id").withColumn("m_id", F.col("m_id").cast("string"))
     same = lambda a, b: X.jaccard(X.tokens(F.col(a)), X.tokens(F.col(b)))
-    return rounded(C.peer_support(C.siblings(pairs, same), same), "sib_best", "sib_weighted", "support", "support_max", "support_mean")
+    found = C.peer_support(C.siblings(pairs, same), same).select("s1_id", "m_id", "p", "sib_n", "sib_best", "sib_weighted", "sib_same_source", "support", "support_max", "support_mean", "contradictions")
+    return rounded(big(found, "sib_n", "sib_same_source", "contradictions"), "sib_best", "sib_weighted", "support", "support_max", "support_mean")
 
 
 @query("""WITH n AS (SELECT s1_id, m_id, string_agg(CAST(q AS VARCHAR), ' ' ORDER BY q) AS x FROM (SELECT DISTINCT l_orderkey AS s1_id, l_linenumber AS m_id, CAST(l_quantity AS INTEGER) AS q FROM lineitem) GROUP BY ALL), t AS (SELECT s1_id, m_id, list_transform(string_split(x, ' '), lambda v: CAST(v AS INTEGER)) AS nums, [25] AS base FROM n),
@@ -388,23 +336,24 @@ def density_cells(spark, d):
     return rounded(J.density(p.where("p < 0.5"), p.where("p >= 0.5"), ["grp", "y"], 100, 90), "d_valid", "d_test", "rho")
 
 
-@query()
+@query(f"""WITH {PAIRS_SQL}, v AS (SELECT grp, count(*) AS valid FROM p WHERE p < 0.5 GROUP BY 1), t AS (SELECT grp, count(*) AS test FROM p WHERE p >= 0.5 GROUP BY 1), l AS (SELECT grp, (sum(y) + 0.5) / (count(*) + 1) AS pr FROM p GROUP BY 1), c AS (SELECT grp, coalesce(valid, 0) AS valid, coalesce(test, 0) AS test FROM v FULL JOIN t USING (grp)),
+    r AS (SELECT grp, CASE WHEN valid >= 15 AND test >= 15 THEN greatest((test * 1000.0 / 90) / (valid * 1000.0 / 100), 1.0) ELSE 1.0 END AS ratio, pr FROM c LEFT JOIN l USING (grp)) SELECT grp, round(ratio, 6) AS ratio, round(pr, 6) AS precision, round(pr / ratio, 6) AS q FROM r""")
 def invariance_cells(spark, d):
     p = scored_pairs(spark, d)
     cells = J.density(p.where("p < 0.5"), p.where("p >= 0.5"), ["grp"], 100, 90)
-    return rounded(J.invariance(p, J.inflation(cells), ["grp"]), "ratio", "precision", "q")
+    return rounded(J.invariance(p, cells, ["grp"]), "ratio", "precision", "q")
 
 
-@query("WITH c AS (SELECT c_custkey, c_nationkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL), a AS (SELECT c_nationkey, count(*) AS rows, avg(n) AS mean FROM c GROUP BY 1 HAVING count(*) >= 3) SELECT c_nationkey, rows, round(mean, 6) AS mean, round(mean - (SELECT median(mean) FROM a), 6) AS gap FROM a")
+@query("WITH c AS (SELECT c_custkey, c_nationkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY ALL), a AS (SELECT c_nationkey, count(*) AS rows, avg(n) AS mean, " + ", ".join(f"count(CASE WHEN least(n, 6) = {k} THEN 1 END) AS n{k}" for k in range(7)) + " FROM c GROUP BY 1 HAVING count(*) >= 3) SELECT c_nationkey, rows, round(mean, 6) AS mean, round(mean - (SELECT median(mean) FROM a), 6) AS gap, n0, n1, n2, n3, n4, n5, n6 FROM a")
 def health_scan(spark, d):
     c = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_custkey", "c_nationkey").agg(F.count("o_orderkey").alias("n"))
-    return rounded(J.health_scan(c, "c_nationkey", 3).select("c_nationkey", "rows", "mean", "gap"), "mean", "gap")
+    return rounded(J.health_scan(c, "c_nationkey", 3).drop("median"), "mean", "gap")
 
 
-@query()
+@query(f"""WITH {PAIRS_SQL}, c AS (SELECT s1_id, count(*) AS n FROM p GROUP BY 1), u AS (SELECT n, count(*) AS k FROM c GROUP BY 1), l AS (SELECT u.n, (coalesce(f.k, 0) + 0.5) / (u.k + 0.5) AS lr FROM u LEFT JOIN u f ON f.n = u.n + 1) SELECT s1_id, m_id, round(lr / sum(lr) OVER (PARTITION BY m_id), 9) AS q FROM p JOIN c USING (s1_id) JOIN l USING (n)""")
 def count_tie_breaker(spark, d):
     """Weights of a record's rival entities by how usual one more record is for each."""
-    p = scored_pairs(spark, d).where("p >= 0.8")
+    p = scored_pairs(spark, d)
     return rounded(J.count_prior(p, p.groupBy("s1_id").agg(F.count("*").alias("n")), "s1_id").select("s1_id", "m_id", "q"), "q", digits=9)
 
 
@@ -498,3 +447,7 @@ def stacked_scores(spark, d):
 @query()
 def synthetic_decoys(spark, d):
     return L.positions_shifted(table(spark, d, "part").select("p_partkey", F.col("p_size").cast("bigint").alias("size")), "size", "p_partkey")
+
+
+# the modules below register their queries here
+from kinweave.plans import decoys, features, linkage, sources  # noqa: E402, F401

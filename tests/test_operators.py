@@ -72,7 +72,7 @@ def test_tsv_and_lists(spark, tmp_path):
 
 def test_relations(spark):
     rel = lambda a, b: spark.range(1).select(J.number_relation(F.array(*map(F.lit, a)).cast("array<int>"), F.array(*map(F.lit, b)).cast("array<int>"))).head()[0]
-    assert [rel(*x) for x in (([], [1]), ([1, 2], [2, 1]), ([58, 14, 14], [58, 14, 19]), ([1, 2], [1]), ([40], [30]), ([1], [500]))] == ["missing", "eq", "shift", "sub", "neg_small", "far"]
+    assert [rel(*x) for x in (([], [1]), ([1, 2], [2, 1]), ([58, 14, 14], [58, 14, 19]), ([1, 2], [1]), ([40], [30]), ([1], [500]), ([10], [13]), ([10], [11]), ([1234], [1294]), ([100], [190]), ([123], [23]))] == ["missing", "eq", "shift_ms_only", "sub", "neg_small", "far", "shift_pure", "shift_12", "typo", "typo", "typo"]
 
 
 def test_events_as_stream(spark, tmp_path):
@@ -140,3 +140,88 @@ def test_evidence_queries_take_all_pairs(spark):
     sf = "/root/testdata/sf0.001"
     assert library.sibling_support(spark, sf).count() == library.scored_pairs(spark, sf).count()
     assert library.monte_carlo_f(spark, sf).count() == library.scored_pairs(spark, sf).select("s1_id").distinct().count()
+
+
+def test_linkage_of_records(spark):
+    """The whole pipeline on planted copies and look-alikes: most lists are right, and no record has two owners."""
+    from kinweave.plans import linkage
+    from kinweave.plans import records as T
+
+    sf = "/root/testdata/sf0.001"
+    found = S.read_pairs(linkage.linkage_pipeline(spark, sf))
+    assert found.groupBy("m_id").count().where("count > 1").isEmpty()
+    entities = T.raw_s1(spark, sf).select(F.col("entity_id").alias("s1_id"))
+    assert D.macro_f05(entities, found, linkage.truth(spark, sf)).head()["macro_f05"] > 0.9
+
+
+def test_classes_of_names(spark):
+    """Name classes, swaps and the similarities of pairs against plain code."""
+    import difflib
+
+    from kinweave.plans import features as V
+
+    sf = "/root/testdata/sf0.001"
+    x = V.described(spark, sf)
+    rows = {(r["s1_id"], r["m_id"]): r for r in x.collect()}
+    same = lambda a, b: difflib.SequenceMatcher(None, a, b).ratio()
+    swaps = {(r["s1_id"], r["m_id"]): r for r in J.one_word_swaps(x).collect()}
+    classes = {(r["s1_id"], r["m_id"]): r["cls"] for r in J.name_class(x).collect()}
+    suffixes = {(r["s1_id"], r["m_id"]): r["cls"] for r in J.suffix_class(x).collect()}
+    assert len(classes) == len(suffixes) == len(rows) and swaps
+    for key, r in rows.items():
+        ta, tb = r["a_name_core"].split(), r["b_name_core"].split()
+        differ = [i for i, (p, q) in enumerate(zip(ta, tb)) if p != q]
+        one = len(ta) == len(tb) and len(differ) == 1
+        street = [{t for t in r[f"{s}_addr_text"].split() if t.isalpha() and len(t) > 2} for s in "ab"]
+        swap = one and len(ta) > 1 and r["a_addr_nums"] and r["a_addr_nums"] == r["b_addr_nums"] and street[1] and len(street[0] & street[1]) >= 0.5 * len(street[0] | street[1]) and same(ta[differ[0]], tb[differ[0]]) < 0.6
+        assert bool(swap) == (key in swaps) and (not swap or (swaps[key]["at"], swaps[key]["target"]) == (differ[0] + 1, tb[differ[0]]))
+        if ta == tb:
+            assert suffixes[key] is None and classes[key].startswith("exact_")
+        elif one and set(ta) != set(tb) and not set(ta) < set(tb) and not set(tb) < set(ta):
+            kind = "typo" if same(ta[differ[0]], tb[differ[0]]) >= 0.6 else "swap_generic" if tb[differ[0]] in J.GENERIC_WORDS else "swap_descr"
+            assert suffixes[key] == kind and classes[key].startswith(("typo", "swap"))
+
+
+def test_count_shapes():
+    """Fits of count histograms find what made them."""
+    import numpy as np
+
+    truth = np.array([0.1, 0.1, 0.3, 0.3, 0.15, 0.05])
+    for want in ((0.95, 0.1, 0.01), (0.9, 0.3, 0.05), (0.99, 0.0, 0.0)):
+        got = J.fit_counts(1e6 * J.count_law(truth, *want, 9), truth)
+        assert got == pytest.approx(want, abs=0.01)
+    assert J.expected_score(truth, 1.0, 0.0, 0.0) == pytest.approx(1.0) and J.expected_score(truth, 0.9, 0.2, 0.0) < 0.95
+    ref = np.array([5.0, 10, 20, 30, 20, 10, 3, 1, 1])
+    true, false = np.arange(9) * ref, np.concatenate([[0], ref[:-1]])
+    for share in (0.0, 0.4, 1.0):
+        assert J.false_share(ref, share * false / false.sum() + (1 - share) * true / true.sum()) == pytest.approx(share, abs=0.05)
+        real = ref[::-1] / ref.sum()
+        assert J.removal_share(ref, 1e5 * (share * ref / ref.sum() + (1 - share) * real), real)[0] == pytest.approx(share, abs=0.01)
+
+
+def test_draws():
+    import numpy as np
+
+    u = D.uniforms(np.arange(2000), 50, 1)
+    assert u.min() >= 0 and u.max() < 1 and abs(u.mean() - 0.5) < 0.01 and (u == D.uniforms(np.arange(2000), 50, 1)).all()
+    n = D.poissons(u, 1.5)
+    assert abs(n.mean() - 1.5) < 0.02 and abs(n.var() - 1.5) < 0.05 and not D.poissons(u, 0.0).any()
+
+
+def test_fillers_and_guards(spark, tmp_path):
+    from kinweave.operators import learn as L
+
+    rows = [(f"a{i} b", f"a{i} b pra li") for i in range(5)] + [(f"a{i} c", f"a{i} c limtid") for i in range(4)] + [("x", "x y")]
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert L.filler_suffixes(df, F.split("a", " "), F.split("b", " "), support=3) == ["limtid", "pra li"]
+    calls = []
+    tries = L.random_search({"a": [1, 2], "b": [3]}, lambda s: calls.append(s) or float(s["a"]), tries=10)
+    assert tries[0] == (2.0, {"a": 2, "b": 3}) and len(calls) == 2
+    assert S.check_room(spark, str(tmp_path), 1) > 1
+    with pytest.raises(OSError):
+        S.check_room(spark, str(tmp_path), 1 << 62)
+    path = str(tmp_path / "once")
+    made = [S.once(spark, path, lambda: spark.range(n), force=f).count() for n, f in ((3, False), (5, False), (5, True))]
+    assert made == [3, 3, 5]
+    plan = spark.read.parquet(path).where("id = 2").select("id")
+    assert "PushedFilters: [IsNotNull(id), EqualTo(id,2)]" in plan._jdf.queryExecution().executedPlan().toString()
