@@ -50,11 +50,14 @@ def temporary(spark: SparkSession, keep: Callable[[], str]) -> Iterator[None]:
             _staged[-1].append(kept)
 
 
-def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write `df` to the shared folder; return the table read back and its path. It goes when the session ends."""
+def stage(df: DataFrame, name: str, compression: str = "zstd", dictionary: bool = True) -> tuple[DataFrame, str]:
+    """Write `df` to the shared folder; return the table read back and its path. It goes when the session ends.
+
+    Without a dictionary for columns whose values hardly repeat.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).option("parquet.enable.dictionary", dictionary).parquet(path)
     fs, p = _on_fs(spark, path)
     fs.deleteOnExit(p)
     if _staged:
