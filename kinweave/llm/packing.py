@@ -109,6 +109,6 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capaci
             rest = rest.set_column(rest.schema.get_field_index(name), name, pa.array(values, pa.int64()))
         return rest
 
-    placed, _ = stage(small_batches(docs).select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _SCHEMA), "packed")
+    placed, _ = stage(small_batches(docs).select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _SCHEMA), "packed", compression="lz4", dictionary=False)
     rest = placed.where("sequence_id IS NULL").groupBy(F.expr(f"part div {GROUP}")).applyInArrow(again, _SCHEMA)
     return placed.where("sequence_id IS NOT NULL").unionByName(rest).drop("part")
