@@ -133,7 +133,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     size, sc = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()), docs.sparkSession.sparkContext
     parts = max(4 * sc.defaultParallelism, min(100_000, size // RANGE_BYTES))
     order = ["doc_id", F.xxhash64("text")]
-    cut, cut_path = stage(_cut_documents(given.repartitionByRange(parts, *order).sortWithinPartitions(*order), vocabulary, end_id, width), "cut")
+    cut, cut_path = stage(_cut_documents(given.repartitionByRange(parts, *order).sortWithinPartitions(*order), vocabulary, end_id, width), "cut", compression="lz4", dictionary=False)
     bits = filter_bits(cut.count())
     key = F.xxhash64("name")
     # names that stand in more than one place; only names shuffle, combined first
@@ -145,7 +145,7 @@ def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_i
     sent = cut.where("ids IS NOT NULL").select("row", "at", "name", "ids", shared.alias("shared"))
     alone = sent.where("NOT shared").select("name", "row", "at", "ids")
     several = sent.where("shared").groupBy("name").agg(F.first("ids").alias("ids")).select("name", F.lit(None).cast("long").alias("row"), F.lit(None).cast("int").alias("at"), "ids")
-    alone.unionByName(several).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    alone.unionByName(several).write.option("compression", "zstd").option("parquet.enable.dictionary", False).parquet(f"{path}/chunks")
 
     # rows ascend with doc_id: the upper bits are the range
     ranged = cut.where("at = 0").select(F.shiftright("row", 33).cast("int").alias("part"), "doc_id", "row", "n_tokens", "names", "root")
