@@ -41,7 +41,7 @@ def _letter(c: str) -> str:
         return _CYRILLIC.get(low, _GREEK.get(low, ""))
     name = unicodedata.name(c, "")
     if name.startswith("LATIN"):
-        letter = re.search(r"(?:LETTER|LIGATURE) (?:SMALL CAPITAL |TURNED |REVERSED |OPEN |INSULAR |LONG )*(SHARP S|DOTLESS I|[A-Z]+)", name)
+        letter = re.search(r"(?:LETTER|LIGATURE) (?:SMALL CAPITAL |TURNED |REVERSED |OPEN |INSULAR |LONG |BARRED )*(SHARP S|DOTLESS I|[A-Z]+)", name)
         found = letter[1] if letter else ""
         return _LATIN.get(found, found.lower() if len(found) <= 2 else "")
     vowel = re.search(r"VOWEL SIGN (?:VOCALIC )?([A-Z]+)$", name)
