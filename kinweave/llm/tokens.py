@@ -110,6 +110,8 @@ class Memory:
 _OTHER = re.compile("[^\x00-\x1b\x20-\u024f]")
 #: A full stop or comma beside another mark, with which it forms one piece.
 _RUN = re.compile(r"[.,](?:(?=[^\w\s]|_)|(?<=[^\w\s].)|(?<=_.))")
+#: Where a run of marks follows a letter: a piece always begins there.
+_AFTER_LETTER = re.compile("(?<=[a-z\u00df-\u00f6\u00f8-\u00ff])(?=[!-/:-@\\[-`{-~])")
 
 
 #: Words of these alone (lower-case Latin letters, ASCII digits and marks) are taken apart here as the pre-tokenizer does.
@@ -122,8 +124,7 @@ def _words(text: str) -> list[str]:
     latin = not any(map(text.__contains__, "\x1c\x1d\x1e\x1f")) if text.isascii() else _OTHER.search(text) is None
     if latin:
         text = text.lower()
-        if _RUN.search(text) is None:
-            text = text.replace(".", " .").replace(",", " ,")
+        text = text.replace(".", " .").replace(",", " ,") if _RUN.search(text) is None else _AFTER_LETTER.sub(" ", text)
     return text.replace("\n", " ").split(" ")
 
 
@@ -131,7 +132,7 @@ class WordEncoder:
     """Ids of whole texts by a vocabulary of the tokenizers library that lower-cases and drops white space.
 
     Its pre-tokenizer never joins what a space or line feed separates, so the words between them are encoded once
-    each and their ids joined; Latin words are told apart from a full stop or comma and lower-cased before, so that
+    each and their ids joined; Latin words are told apart from the marks behind them and lower-cased before, so that
     fewer are distinct. A text that may hold the string of an added token goes to the library whole.
     """
 
