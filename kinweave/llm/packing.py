@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,14 @@ from pyspark.sql import functions as F
 from kinweave.llm.tokens import hold, slices, small_batches, trim, vocabulary_path, word_encoder
 from kinweave.staging import stage
 
-#: Open bins of a packer, and partitions whose open bins one task of the second pass packs (67 MB of ids at most).
+#: Open bins of a packer, and partitions whose open bins one task of the second pass packs, by lengths alone.
 OPEN_BINS, GROUP = 256, 32
-_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary, part int"
+_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, ids binary, row long"
 _NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
-_TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.int32()]
+_TYPES = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.int64()]
+
+#: What the second pass reads of a piece, and what it gives.
+_LENGTHS, _PLACES = ("row", "doc_id", "piece", "length", "ids_crc32"), "row long, sequence_id long, offset long"
 
 
 class BestFit:
@@ -83,7 +87,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capaci
         hold("words")
         encoder = word_encoder(vocabulary or vocabulary_path("word_bpe_49k.json"))
         part, end = TaskContext.get().partitionId(), np.array([end_id], "<u4").tobytes()
-        packer, held = BestFit(capacity, open_bins), defaultdict(list)
+        packer, held, nth = BestFit(capacity, open_bins), defaultdict(list), count(part << 40)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
@@ -93,7 +97,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capaci
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         piece = ids[at : at + 4 * capacity]
                         seq, offset = packer.place(len(piece) // 4)
-                        held[seq].append((key, k, at // 4, len(piece) // 4, zlib.crc32(piece), part << 40 | seq, offset, piece, part))
+                        held[seq].append((key, k, at // 4, len(piece) // 4, zlib.crc32(piece), part << 40 | seq, offset, piece, next(nth)))
                     for seq in packer.closed:
                         out += held.pop(seq)
                     packer.closed.clear()
@@ -102,13 +106,14 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capaci
         trim()
 
     def again(rest: pa.Table) -> pa.Table:
-        rest = rest.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("part", "ascending")])
-        packer, base = BestFit(capacity, rest.num_rows), 1 << 62 | rest["part"][0].as_py() // GROUP << 32
-        placed = [packer.place(n) for n in rest["length"].to_pylist()]
-        for name, values in (("sequence_id", [base | seq for seq, _ in placed]), ("offset", [offset for _, offset in placed])):
-            rest = rest.set_column(rest.schema.get_field_index(name), name, pa.array(values, pa.int64()))
-        return rest
+        rest = rest.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending"), ("row", "ascending")])
+        packer, base = BestFit(capacity, rest.num_rows), 1 << 62 | (rest["row"][0].as_py() >> 40) // GROUP << 32
+        at = [packer.place(n) for n in rest["length"].to_pylist()]
+        return pa.table({"row": rest["row"], "sequence_id": pa.array([base | seq for seq, _ in at], pa.int64()), "offset": pa.array([offset for _, offset in at], pa.int64())})
 
     placed, _ = stage(small_batches(docs).select(F.col(doc_id).cast("long"), F.col(text).cast("string")).mapInArrow(run, _SCHEMA), "packed", compression="lz4", dictionary=False)
-    rest = placed.where("sequence_id IS NULL").groupBy(F.expr(f"part div {GROUP}")).applyInArrow(again, _SCHEMA)
-    return placed.where("sequence_id IS NOT NULL").unionByName(rest).drop("part")
+    # ids stay out of the second pass, whose groups are held in memory, and come back by row
+    rest = placed.where("sequence_id IS NULL")
+    packed = rest.select(*_LENGTHS).groupBy(F.expr(f"shiftright(row, 40) div {GROUP}")).applyInArrow(again, _PLACES)
+    rest = rest.drop("sequence_id", "offset").join(packed, "row").select(_NAMES)
+    return placed.where("sequence_id IS NOT NULL").unionByName(rest).drop("row")
