@@ -45,19 +45,23 @@ _GEAR = np.array([pow(0x01000193, k, 1 << 32) for k in range(WINDOW)], dtype=np.
 _CUT = "row long, doc_id long, at int, name binary, ids binary, n_tokens long, names array<binary>, root binary"
 
 
-def cuts(ids: np.ndarray, shortest: int = SHORTEST, mean: int = MEAN, longest: int = LONGEST) -> list[int]:
-    """Where the chunks of a stream end. `mean` is a power of two."""
-    n = len(ids)
-    if n <= shortest:
-        return [n] if n else []
+def _marks(ids: np.ndarray, mean: int) -> np.ndarray:
+    """The places behind which the rolling hash of the last WINDOW ids offers a cut."""
     mixed = ids.astype(np.uint32) * np.uint32(0x9E3779B1)
     mixed ^= mixed >> np.uint32(15)
-    h = np.zeros(n, dtype=np.uint32)
-    for k in range(WINDOW):
-        h[k:] += mixed[: n - k] * _GEAR[k]
+    h = np.zeros(len(ids), dtype=np.uint32)
+    for k in range(min(WINDOW, len(ids))):
+        h[k:] += mixed[: len(ids) - k] * _GEAR[k]
     h ^= h >> np.uint32(16)
+    return np.flatnonzero((h & np.uint32(mean - 1)) == 0) + 1
+
+
+def _chosen(marks: list[int], n: int, shortest: int, longest: int) -> list[int]:
+    """Where the chunks of a stream of `n` ids end, of the places that are offered."""
+    if n <= shortest:
+        return [n] if n else []
     ends, last = [], 0
-    for c in (np.flatnonzero((h & np.uint32(mean - 1)) == 0) + 1).tolist():
+    for c in marks:
         if c - last < shortest:
             continue
         while c - last > longest:
@@ -72,6 +76,25 @@ def cuts(ids: np.ndarray, shortest: int = SHORTEST, mean: int = MEAN, longest: i
     return [*ends, n] if last < n else ends
 
 
+def cuts(ids: np.ndarray, shortest: int = SHORTEST, mean: int = MEAN, longest: int = LONGEST) -> list[int]:
+    """Where the chunks of a stream end. `mean` is a power of two."""
+    return _chosen(_marks(ids, mean).tolist() if len(ids) > shortest else [], len(ids), shortest, longest)
+
+
+def cuts_of_many(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """cuts() of each of the streams that stand one after another in `ids`.
+
+    The hashes of all are made at once: those that reach into the stream before lie within SHORTEST, where none cuts.
+    """
+    begins, marks = np.concatenate([[0], ends[:-1]]), _marks(ids, MEAN)
+    first = np.searchsorted(marks, begins, side="right").tolist()
+    marks = marks.tolist()
+    found = []
+    for begin, end, a, b in zip(begins.tolist(), ends.tolist(), first, [*first[1:], len(marks)]):
+        found.append(_chosen([m - begin for m in marks[a:b]], end - begin, SHORTEST, LONGEST))
+    return found
+
+
 def name_of(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
@@ -88,24 +111,25 @@ def _cut_documents(docs: DataFrame, vocabulary: str | None, end_id: int, width:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold("words")
         encoder, row = word_encoder(vocabulary or vocabulary_path("word_bpe_49k.json")), TaskContext.get().partitionId() << 33
-        end, met = np.array([end_id], "<u4").tobytes(), set()
+        met = set()
         if max(end_id, len(encoder.ends) - 1) > np.iinfo(width).max:
             raise ValueError(f"ids of this vocabulary do not fit {width}")
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
                 out: list[list] = [[] for _ in range(8)]
-                for key, raw in zip(keys[a:b], encoder.encode(texts[a:b])):
-                    ids = np.frombuffer(raw + end, "<u4")
-                    ends, stored = cuts(ids), ids.astype(width)
-                    parts = [stored[i:j].tobytes() for i, j in zip([0, *ends], ends)]
+                ids, until = encoder.encode_flat(texts[a:b])
+                ids, until = np.insert(ids, until, end_id), until + np.arange(1, b - a + 1)
+                raw, size, begins = ids.astype(width).tobytes(), np.dtype(width).itemsize, [0, *until.tolist()]
+                for key, base, last, ends in zip(keys[a:b], begins, begins[1:], cuts_of_many(ids, until)):
+                    parts = [raw[size * (base + i) : size * (base + j)] for i, j in zip([0, *ends], ends)]
                     names = [name_of(p) for p in parts]
                     for k, (name, part) in enumerate(zip(names, parts)):
                         # a chunk that the task has met is not sent again; the memory of names is bounded
                         repeat = name in met
                         if not repeat and len(met) < 2_000_000:
                             met.add(name)
-                        for column, v in zip(out, (row, key, k, name, None if repeat else part, len(ids), names if k == 0 else None, merkle_root(names) if k == 0 else None)):
+                        for column, v in zip(out, (row, key, k, name, None if repeat else part, last - base, names if k == 0 else None, merkle_root(names) if k == 0 else None)):
                             column.append(v)
                     row += 1
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.list_(pa.binary()), pa.binary()]

@@ -421,6 +421,46 @@ def test_words_with_marks_and_digits():
     assert not any(len(w) > encoder.memory.longest for w in encoder.memory.known)
 
 
+def test_words_of_a_slice_are_looked_up_once():
+    """Repeated words cost no lookup of their own, and a full memory changes no ids."""
+    from kinweave.llm.tokens import WordEncoder, vocabulary_path
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *key):
+            Counted.looked += 1
+            return super().get(*key)
+
+        def __getitem__(self, key):
+            Counted.looked += 1
+            return super().__getitem__(key)
+
+    encoder, rng = WordEncoder(vocabulary_path("word_bpe_49k.json")), np.random.default_rng(9)
+    wanted = lambda texts: [np.array(e.ids, dtype="<u4").tobytes() for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    encoder.memory.known = Counted()
+    texts = ["", " ", *[f"one plain text, no{i % 7} 'S of it.\n" * 5 for i in range(500)], "x" * 300, "<|startoftext|> here", ""]
+    assert encoder.encode(texts) == wanted(texts)
+    assert Counted.looked < 200
+    assert encoder.encode([]) == [] and encoder.encode(["", "<|endoftext|>"]) == wanted(["", "<|endoftext|>"])
+    words = ["".join(rng.choice(list("abcdeÄß.,1-ж"), n)) for n in rng.integers(1, 9, 400)] + ["y" * 250]
+    encoder.memory.most = 150
+    for _ in range(40):
+        texts = [" ".join(rng.choice(words, n)) for n in rng.integers(0, 30, 6)]
+        assert encoder.encode(texts) == wanted(texts)
+        assert len(encoder.memory.known) < 500 and "y" * 250 not in encoder.memory.known
+        assert list(encoder.memory.known.values()) == list(range(len(encoder.memory.bounds) - 1)) and encoder.memory.bounds[-1] == len(encoder.memory.ids)
+
+
+def test_cuts_of_many_streams():
+    """Streams that are cut together: as each is cut alone."""
+    from kinweave.llm.chunkstore import cuts, cuts_of_many
+
+    rng = np.random.default_rng(3)
+    streams = [rng.integers(0, 49408, n).astype("<u4") for n in [1, 1, 127, 128, 129, 9000, 2, *rng.integers(1, 4000, 200)]] + [np.full(7000, 5, "<u4")]
+    assert cuts_of_many(np.concatenate(streams), np.cumsum([len(s) for s in streams])) == [cuts(s) for s in streams]
+
+
 def test_surrogates_end(spark):
     """Formats without room end: secrets that cannot change, mail names of one letter, phone numbers that are all real; every entity of its own, none real."""
     from kinweave.llm import surrogates as S
